@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, langid, simhash
+from larkspur.llm import bpe, kmeans_dedup, langid, licenses, mixing, sharding, simhash, topk
 
-MODULES = [simhash, langid, bpe]
+MODULES = [simhash, topk, licenses, langid, bpe, kmeans_dedup, sharding, mixing]
 
 
 def queries() -> dict:
