@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, kmeans_dedup, langid, licenses, mixing, sharding, simhash, topk
+from larkspur.llm import bpe, kmeans_dedup, langid, licenses, mixing, quality, sharding, simhash, topk, toxicity
 
-MODULES = [simhash, topk, licenses, langid, bpe, kmeans_dedup, sharding, mixing]
+MODULES = [simhash, topk, licenses, langid, bpe, toxicity, kmeans_dedup, sharding, mixing, quality]
 
 
 def queries() -> dict:
