@@ -197,8 +197,10 @@ class ToxicityModel:
         seeds = self._seeds(docs, bags, marks)
         clean = Counter(u for bag, m in zip(bags, marks, strict=True) if not m for u in bag)
         if seeds and clean:
-            self._train(seeds, clean)
-            self._calibrate(bags, marks)
+            variants = self._train(seeds, clean)
+            # documents with one inserted-character unit only count too, up to a tenth of the toxic ones
+            some = variants[:: max(1, 10 * len(variants) // max(1, int(marks.sum())))]
+            self._calibrate(bags + [{v} for v in some], np.concatenate((marks, np.ones(len(some), int))))
         self.known: dict[bytes, float] = {}
 
     @staticmethod
@@ -236,11 +238,12 @@ class ToxicityModel:
                     out.update(units(sentence) & chosen)
         return out
 
-    def _train(self, seeds: Counter, clean: Counter) -> None:
+    def _train(self, seeds: Counter, clean: Counter) -> list[bytes]:
         rng = np.random.default_rng(11)
         positive = [u for u, _ in sorted(seeds.items(), key=lambda p: (-p[1], p[0]))[:UNITS]]
         ordered = [u for u, _ in sorted(clean.items(), key=lambda p: (-p[1], p[0]))]
-        positive += sorted({v for u in positive for v in gapped(u, rng)} - clean.keys() - set(positive))
+        variants = sorted({v for u in positive for v in gapped(u, rng)} - clean.keys() - set(positive))
+        positive += variants
         negative = ordered[: UNITS // 2] + [ordered[i] for i in sorted(rng.choice(len(ordered), min(len(ordered), UNITS // 2), replace=False)) if i >= UNITS // 2]
         everything = coded(ordered)
         near = pick_landmarks(positive, np.array([float(seeds[u] or 1) for u in positive]), 3 * LANDMARKS // 4)
@@ -266,6 +269,7 @@ class ToxicityModel:
             have = set(negative)
             worst = [ordered[i] for i in dict.fromkeys(everything[2][np.argsort(-score, kind="stable")[: UNITS // 4]].tolist())]
             negative += [u for u in worst if u not in have]
+        return variants
 
     def _calibrate(self, bags, marks) -> None:
         self.known = {}
