@@ -153,7 +153,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     """
     rows = checkpointed(positions(docs))
     sources = plan(rows, block, shards, seed)
-    mixed = pieces(rows, block).join(slots(sources), ["skey", "index"])
+    mixed = pieces(rows, block).join(slots(sources).hint("merge"), ["skey", "index"])
     return rows, sources, mixed
 
 
