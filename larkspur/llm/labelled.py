@@ -25,5 +25,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
 
-def score_schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, ("score", "double")])
+def score_schema(docs: DataFrame, name: str) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, (name, "double")])

@@ -173,24 +173,25 @@ def fit(docs: DataFrame) -> PpmModel:
     return PpmModel(sample_by_language(docs))
 
 
-def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """docs with lang_pred string and score double; every other column as it is.
+def identify(docs: DataFrame, model: PpmModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred string and score double (or other `names`); every other column as it is.
+
+    Columns of docs that have these names are replaced.
 
     A null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned.
     """
     import pyarrow as pa
 
-    clash = [c for c in docs.columns if c in ("lang_pred", "score")]
-    docs = docs.drop(*clash)
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             langs, score = shared.value.predict(byte_values(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, *names])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, ("lang_pred", "string"), ("score", "double")])
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, (names[0], "string"), (names[1], "double")])
     return docs.mapInArrow(run, schema)
 
 

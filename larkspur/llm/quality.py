@@ -178,23 +178,25 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> BoostedTrees
     return BoostedTrees(np.array([r["x"] for r in found]).reshape(-1, len(NAMES)), np.array([r["label"] for r in found], float))
 
 
-def score(docs: DataFrame, model: BoostedTrees) -> DataFrame:
-    """docs with score double, the probability of label 1; all other columns as they are.
+def score(docs: DataFrame, model: BoostedTrees, name: str = "score") -> DataFrame:
+    """docs with score double (or another `name`), the probability of label 1; all other columns as they are.
+
+    A column of docs that has this name is replaced.
 
     Null and empty texts have zero statistics and are scored like any other; repeated rows score alike.
     Without labels, or with one label only, every score is the share of label 1 (0.5 without any).
     """
     import pyarrow as pa
 
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             p = shared.value.predict(statistics(byte_values(b.column(at))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, score_schema(docs))
+    return docs.mapInArrow(run, score_schema(docs, name))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,22 +317,24 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityMode
     return ToxicityModel([(bytes(r["text"]), int(r["label"] > 0)) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["text"])))])
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with score double, the probability of label 1; all other columns as they are.
+def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """docs with score double (or another `name`), the probability of label 1; all other columns as they are.
+
+    A column of docs that has this name is replaced.
 
     Whole texts count. Null, empty and wordless texts score as documents without units; so does every
     text if the labels single nothing out. Repeated rows score alike.
     """
     import pyarrow as pa
 
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(byte_values(b.column(at))))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(byte_values(b.column(at))))], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, score_schema(docs))
+    return docs.mapInArrow(run, score_schema(docs, name))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
