@@ -20,15 +20,14 @@ LEAST_POSTERIOR, LEAST_QUALITY = 0.5, 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that one learned language explains; texts without a letter go."""
-    scored = langid.identify(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, langid.fit(docs))
-    kept = scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).drop("lang_pred", "score")
-    return kept.select(*docs.columns)
+    scored = langid.identify(docs, langid.fit(docs), names=("__lang", "__posterior"))
+    return scored.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__posterior") >= LEAST_POSTERIOR)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose statistics look like those labelled 1."""
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), name="__quality")
+    return scored.where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
