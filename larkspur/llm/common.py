@@ -52,6 +52,13 @@ def byte_values(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if big else pa.binary()).to_pylist()
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows, which bounds what is copied at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_chunks(texts: list[bytes | None], limit: int):
     """Index ranges of texts holding about limit bytes each; one longer text stands alone."""
     start, size = 0, 0

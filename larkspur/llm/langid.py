@@ -15,12 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import byte_chunks, byte_values, held_out, table
+from larkspur.llm.common import byte_chunks, byte_values, held_out, slices, table
 
 ORDER = 3
 #: The fit's bounds: texts for each language, bytes of a sample text, uses that a context needs, bytes of the cost table.
 SAMPLE_DOCS, SAMPLE_BYTES, LEAST_USES, TABLE_BYTES = 300, 1 << 15, 48, 48 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: PpmModel, names: tuple[str, str] = ("lang_p
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             langs, score = shared.value.predict(byte_values(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, *names])
 
