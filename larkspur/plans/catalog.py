@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from larkspur.plans import ranking_queries
+
+MODULES = [ranking_queries]
 
 
 def queries() -> dict:
