@@ -51,7 +51,7 @@ class PpmModel:
         self.classes = np.zeros(256, np.int32)
         self.classes[alphabet] = np.arange(1, a)
         coded = {k: self.classes[s] for k, s in streams.items()}
-        total = sum(np.bincount(self._contexts(c), minlength=a**ORDER) for c in coded.values())
+        total = sum((np.bincount(self._contexts(c), minlength=a**ORDER) for c in coded.values()), np.zeros(a**ORDER, np.int64))
         most = max(a, TABLE_BYTES // (4 * a * max(1, len(self.langs))))
         # nodes: the root, then contexts by order; a context is known only if its suffixes are
         parents, self.map = [np.zeros(1, np.int64)], np.zeros(a**ORDER, np.int32)

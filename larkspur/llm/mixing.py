@@ -174,15 +174,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, _, mixed = mix(docs)
     part = F.struct("from", "words")
     taken = mixed.groupBy("doc_id", "skey", "crc", "size", "first", "pass").agg(F.sum("words").alias("got"), F.sort_array(F.collect_list(part)).alias("parts"))
-    keyed = docs.withColumns({"skey": source_key(F.col("source")), "crc": crc_of(F.col("text"))}).dropDuplicates(["doc_id", "skey", "crc"])
-    both = keyed.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    taken = taken.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("doc_id")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(cut)
-    out = both.join(taken, ["__id", "skey", "crc"]).withColumn("__text", text)
+    # the document travels as one struct, so that its columns' names cannot clash
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
+    whole = docs.select(key, source_key(F.col("source")).alias("__skey"), crc_of(F.col("text")).alias("__crc"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
+    whole = whole.dropDuplicates(["__id", "__skey", "__crc"])
+    taken = taken.select(key, F.col("skey").alias("__skey"), F.col("crc").alias("__crc"), F.col("size").alias("__size"), F.col("got").alias("__got"), F.col("parts").alias("__parts"))
+    words = F.regexp_extract_all("__doc.text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    text = F.when(F.col("__got") == F.col("__size"), F.col("__doc.text")).otherwise(cut)
+    out = whole.join(taken, ["__id", "__skey", "__crc"]).withColumn("__text", text)
     fresh = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return out.select(*[fresh.get(c, F.col(c)).alias(c) for c in columns])
+    return out.select(*[fresh.get(c, F.col("__doc").getField(c)).alias(c) for c in columns])
 
 
 QUERIES = {"op9_mixing": op9_mixing}
