@@ -67,8 +67,8 @@ def normal_path(path: Column) -> Column:
 
 
 def valid_requirement_id(text: Column) -> Column:
-    """Dot-separated segments of letters, digits, `_` and `-`, the first with a letter or `_` in front."""
-    return F.coalesce(text.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*(\.[A-Za-z0-9_-]+)*$"), F.lit(False))
+    """Dot-separated segments of letters, digits, `_` and `-`, none of them empty."""
+    return F.coalesce(text.rlike(r"^[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)*$"), F.lit(False))
 
 
 def modifiers(text: Column) -> Column:
@@ -98,7 +98,7 @@ def video_url(video: Column) -> Column:
 
 def yaml_plain(text: Column) -> Column:
     """Whether a string may stand unquoted in YAML: a plain word that no reader takes for another type."""
-    word = text.rlike(r"^[A-Za-z_][A-Za-z0-9_./ -]*$") & ~text.rlike(r" $")
+    word = text.rlike(r"\A[A-Za-z_][A-Za-z0-9_./ -]*\z") & ~F.endswith(text, F.lit(" "))
     return F.coalesce(word & ~F.lower(text).isin("true", "false", "null", "yes", "no", "on", "off", "y", "n", "nan", "inf"), F.lit(False))
 
 

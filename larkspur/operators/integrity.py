@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import slugify
+from larkspur.operators.lineage import cut
 
 _TABLES = ("games", "categories", "levels", "runs", "users")
 
@@ -20,14 +20,6 @@ def _order(table: str) -> list[Column]:
     return [F.asc_nulls_first("created"), *name] if table == "users" else name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder, a local one where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint(eager=True)
-
-
 def orphans(child: DataFrame, key: str, parent: DataFrame) -> DataFrame:
     """Child rows whose key is set but has no parent."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col("id").alias(key)), key, "left_anti")
