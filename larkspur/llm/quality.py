@@ -11,13 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import byte_chunks, byte_values, held_out, table
+from larkspur.llm.common import byte_chunks, byte_values, held_out, slices, table
 from larkspur.llm.labelled import score_schema, training_rows
 
 #: Most labelled rows that the trees are fitted on.
 SAMPLE = 8000
 TREES, DEPTH, RATE, EDGES, LEAST_ROWS, LAMBDA = 80, 4, 0.15, 63, 8, 1.0
-THRESHOLD, CHUNK = 0.7, 2 << 20
+THRESHOLD, CHUNK = 0.7, 1 << 19
 KINDS = 11
 _KIND = np.full(256, 8, np.int64)  # 8: other marks
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:192], _KIND[192:] = 0, 1, 2, 9, 10
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> BoostedTrees
     rows = training_rows(docs, labels, "quality", 4, 2, bound)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = statistics(byte_values(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: BoostedTrees, name: str = "score") -> DataFram
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             p = shared.value.predict(statistics(byte_values(b.column(at))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, name])
 
