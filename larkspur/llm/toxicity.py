@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import byte_values, held_out, table
+from larkspur.llm.common import byte_values, held_out, slices, table
 from larkspur.llm.labelled import score_schema, training_rows
 
 #: Bounds of the fit: labelled documents, bytes of a training text, landmarks, units in a round, rounds.
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(byte_values(b.column(at))))], [*b.schema.names, name])
 
     return docs.mapInArrow(run, score_schema(docs, name))
