@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, langid, mixing, quality, simhash
-from larkspur.llm.common import ensure_checkpoint_dir, table
+from larkspur.llm.common import table
+from larkspur.operators.lineage import shared_folder
 
 #: A document goes if no learned language reaches this posterior, or if its quality score is lower than this.
 LEAST_POSTERIOR, LEAST_QUALITY = 0.5, 0.5
@@ -72,8 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each written in the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{shared}/{k}-{name}"
