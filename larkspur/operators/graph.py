@@ -55,6 +55,8 @@ def generation_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         level = cut(level.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node")).distinct())
         if level.isEmpty():
+            if best.count() < total:
+                raise ValueError("the graph has a cycle")
             return best
         depth += 1
         if depth > total:

@@ -328,3 +328,21 @@ def runs_with_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main.unionByName(more).groupBy("id").agg(F.max_by("origin", "priority").alias("origin"))
 
 
+
+
+@query(
+    f", {_FIRST}, ranked AS (SELECT *, {_RANKED} FROM first_runs), {_RECORDS}, news AS (SELECT {_BOARD}, count(*) AS records, max(progress_ms) AS largest FROM records GROUP BY ALL) "
+    "SELECT g.slug AS game, c.slug AS category, c.id AS category_id, l.slug AS level, r.id AS run_id, r.ms AS best_ms, n.records, n.largest FROM ranked r JOIN games g ON g.id = r.game_id "
+    "JOIN categories c ON c.id = r.category_id LEFT JOIN levels l ON l.id = r.level_id JOIN news n ON n.game_id = r.game_id AND n.category_id = r.category_id AND n.level_id IS NOT DISTINCT FROM r.level_id WHERE r.rank = 1"
+)
+def game_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every board at once: its game, category and level, the best run, and how its record moved."""
+    t, runs = tables(spark, sf_dir), timed_runs(spark, sf_dir)
+    best = ranking.leaderboard(runs, limit=1).select("game_id", "category_id", "level_id", F.col("id").alias("run_id"), F.col("ms").alias("best_ms"))
+    news = ranking.progression(runs).groupBy("game_id", "category_id", "level_id").agg(F.count(F.lit(1)).alias("records"), F.max("progress_ms").alias("largest"))
+    same = (F.col("b.game_id") == F.col("n.game_id")) & (F.col("b.category_id") == F.col("n.category_id")) & F.col("b.level_id").eqNullSafe(F.col("n.level_id"))
+    joined = best.alias("b").join(news.alias("n"), same).select("b.*", "n.records", "n.largest")
+    named = joined.join(t["games"].select(F.col("id").alias("game_id"), F.col("slug").alias("game")), "game_id")
+    named = named.join(t["categories"].select(F.col("id").alias("category_id"), F.col("slug").alias("category")), "category_id")
+    named = named.join(t["levels"].select(F.col("id").alias("level_id"), F.col("slug").alias("level")), "level_id", "left")
+    return named.select("game", "category", "category_id", "level", "run_id", "best_ms", "records", "largest")
