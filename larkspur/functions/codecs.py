@@ -142,7 +142,7 @@ def z85_decoded_length(count: Column) -> Column:
     return F.floor(count / 5) * 4 + F.greatest(count % 5 - 1, F.lit(0))
 
 
-def jeb85_encode(data: bytes) -> str:
+def mixed85_encode(data: bytes) -> str:
     """Z85, but runs of blocks of printable ASCII stay as they are behind a `|`.
 
     A single raw block is `|` and its 4 bytes. A longer run is the number of blocks less one in Z85 digits
@@ -319,8 +319,8 @@ def parse_z85(text: Column) -> Column:
     return _checked(z85_decode, "binary")(text)
 
 
-def jeb85(data: Column) -> Column:
-    return _each(lambda b: jeb85_encode(bytes(b)), "string")(data.cast("binary"))
+def mixed85(data: Column) -> Column:
+    return _each(lambda b: mixed85_encode(bytes(b)), "string")(data.cast("binary"))
 
 
 def b1032(number: Column) -> Column:

@@ -188,7 +188,7 @@ def joined(items: DataFrame, between: str = "", after: str = "") -> DataFrame:
 
 # --- command lines ------------------------------------------------------------------------------------------
 
-ALIASES = {"to-jeb85-lines": ["encode-jeb85", "split-80", "join-lines"]}
+ALIASES = {"to-mixed85-lines": ["encode-mixed85", "split-80", "join-lines"]}
 
 
 def commands(arguments: list[str]) -> list[str]:
@@ -203,7 +203,7 @@ def commands(arguments: list[str]) -> list[str]:
 
 
 def pipeline(items: DataFrame, arguments: list[str]) -> DataFrame:
-    """Run text commands over items: split-lines, split-N, find-X, first[-N], last[-N], join, join-lines, join-space, encode-jeb85, to-hex.
+    """Run text commands over items: split-lines, split-N, find-X, first[-N], last[-N], join, join-lines, join-space, encode-mixed85, to-hex.
 
     Unknown commands raise ValueError; arguments with `=` are ignored.
     """
@@ -226,8 +226,8 @@ def pipeline(items: DataFrame, arguments: list[str]) -> DataFrame:
             items = (first if name == "first" else last)(items, int(value or 1))
         elif c in ("join", "join-lines", "join-space"):
             items = again(joined(items, " " if c == "join-space" else "", "\n" if c == "join-lines" else ""))
-        elif c == "encode-jeb85":
-            items = items.withColumn("text", codecs.jeb85(F.coalesce("bytes", F.encode("text", "UTF-8")))).withColumn("bytes", none.cast("binary"))
+        elif c == "encode-mixed85":
+            items = items.withColumn("text", codecs.mixed85(F.coalesce("bytes", F.encode("text", "UTF-8")))).withColumn("bytes", none.cast("binary"))
         elif c == "to-hex":
             items = items.withColumn("text", codecs.to_hex(F.coalesce("bytes", F.encode("text", "UTF-8")))).withColumn("bytes", none.cast("binary"))
         else:

@@ -46,10 +46,10 @@ def z85_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
-def jeb85_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed85_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each text, checked against the bound that its mixed encoding never exceeds Z85's length."""
     docs = read(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.length(codecs.jeb85(F.encode("text", "UTF-8"))).alias("n"))
+    coded = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.length(codecs.mixed85(F.encode("text", "UTF-8"))).alias("n"))
     return coded.where(F.col("n") <= codecs.z85_length(F.col("size"))).select("doc_id", "size")
 
 

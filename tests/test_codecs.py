@@ -65,13 +65,13 @@ def test_z85_round_trip_of_every_tail(spark):
     assert bytes(one(spark, C.parse_z85(C.z85(F.col("b"))), b=b"\x00\x01raw").value) == b"\x00\x01raw"
 
 
-def test_jeb85_keeps_printable_runs():
-    assert C.jeb85_encode(b"text") == "|text"
-    assert C.jeb85_encode(b"long text") == "0|long text"
-    assert C.jeb85_encode(b"\x00\x00\x00\x00") == "00000"
-    mixed = C.jeb85_encode(b"abcdefgh\x00\x01\x02\x03")
+def test_mixed85_keeps_printable_runs():
+    assert C.mixed85_encode(b"text") == "|text"
+    assert C.mixed85_encode(b"long text") == "0|long text"
+    assert C.mixed85_encode(b"\x00\x00\x00\x00") == "00000"
+    mixed = C.mixed85_encode(b"abcdefgh\x00\x01\x02\x03")
     assert mixed.startswith("1|abcdefgh") and len(mixed) == 15
-    assert C.jeb85_encode(b"abcd\xff\xff\xff\xff") == "|abcd%nSc0"
+    assert C.mixed85_encode(b"abcd\xff\xff\xff\xff") == "|abcd%nSc0"
 
 
 def test_b1032(spark):

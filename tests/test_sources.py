@@ -101,8 +101,8 @@ def test_sizes_and_commands(spark):
     items = readers.text_source(spark, ["one two\nthree", " four\nfive"])
     out = streams.pipeline(items, ["split-lines | find-t", "first-2"]).orderBy("seq").collect()
     assert [r.text for r in out] == ["one two\n", "three four\n"]
-    whole = streams.pipeline(items, ["to-jeb85-lines"]).first().text
-    assert whole.endswith("\n") and streams.commands(["to-jeb85-lines"]) == ["encode-jeb85", "split-80", "join-lines"]
+    whole = streams.pipeline(items, ["to-mixed85-lines"]).first().text
+    assert whole.endswith("\n") and streams.commands(["to-mixed85-lines"]) == ["encode-mixed85", "split-80", "join-lines"]
     with pytest.raises(ValueError):
         streams.pipeline(items, ["no-such"])
 
