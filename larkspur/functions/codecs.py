@@ -5,6 +5,7 @@ Decoders return struct(value, error): exactly one of the two is null.
 
 from __future__ import annotations
 
+import base64
 import re
 from functools import cache
 
@@ -282,6 +283,84 @@ def block_encode(data: bytes, digits: str, size: int) -> str:
     return "".join(out)
 
 
+# --- base 66 and base 92: block encodings that leave runs of safe characters readable ------------------------
+
+#: Bytes and digits in a block, the mark of a run, most blocks in a run, fill, safe characters.
+READABLE = {
+    "66": (3, 4, ".", 99, "~.-_0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "92": (4, 5, "|", 999, ".-:+=^!/*?&<>()[]{}@%$#,;~|_ 0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+}
+
+
+def _plain_digits(base: str, data: bytes) -> str:
+    if base == "66":
+        return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
+    return z85_encode(data)
+
+
+def _plain_bytes(base: str, text: str) -> bytes:
+    if base == "66":
+        if not re.fullmatch("[A-Za-z0-9_-]*", text) or len(text) % 4 == 1:
+            raise ValueError("invalid digits")
+        return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+    return z85_decode(text)
+
+
+def readable_encode(data: bytes, base: str, extra_safe: str = "") -> str:
+    """base64url (66) or Z85 (92), but whole blocks of safe characters stay as they are, in marked runs.
+
+    A run of one block is `~` and its bytes; of two, the mark twice and the bytes; of n, mark n mark, the bytes,
+    and a fill up to the length of n blocks. A run longer than its base allows is cut into several.
+    """
+    size, width, mark, most, safe = READABLE[base]
+    good = set((safe + extra_safe).encode())
+    out, at = [], 0
+    while at < len(data):
+        end = at
+        while end + size <= len(data) and end - at < most * size and good.issuperset(data[end : end + size]):
+            end += size
+        n, raw = (end - at) // size, data[at:end].decode()
+        if not n:
+            out.append(_plain_digits(base, data[at : at + size]))
+            at += size
+            continue
+        text = "~" + raw if n == 1 else mark * 2 + raw if n == 2 else f"{mark}{n}{mark}{raw}"
+        if len(text) < n * width and (n == 4 or base == "66"):
+            text += mark
+        out.append(text.ljust(n * width, "."))
+        at = end
+    return "".join(out)
+
+
+def readable_decode(text: str, base: str, strict: bool = False) -> bytes:
+    """Inverse of readable_encode; strict rejects what the encoder would write in another way."""
+    size, width, mark, _, _ = READABLE[base]
+    out, at = [], 0
+    while at < len(text):
+        block, n, skip = text[at : at + width], 1, 0
+        if len(block) == width and block[0] in ("~", mark):
+            number = re.match(rf"{re.escape(mark)}([1-9][0-9]*){re.escape(mark)}", text[at:])
+            if block[0] == "~":
+                skip = 1
+            elif block[1] == mark:
+                n, skip = 2, 2
+            elif number:
+                n, skip = int(number[1]), number.end()
+            else:
+                raise ValueError("a run without a length")
+            raw = text[at + skip : at + skip + n * size].encode()
+            if len(raw) != n * size or at + n * width > len(text):
+                raise ValueError("a run is cut short")
+            out.append(raw)
+        else:
+            out.append(_plain_bytes(base, block))
+        at += n * width
+    data = b"".join(out)
+    if strict and readable_encode(data, base) != text:
+        raise ValueError("not the canonical form")
+    return data
+
+
 # --- as column functions -------------------------------------------------------------------------------
 
 
@@ -358,3 +437,11 @@ def encode_blocks(data: Column, alphabet: str) -> Column:
     if alphabet.startswith("hex"):
         return F.hex(data) if alphabet == "hex" else to_hex(data)
     return _each(lambda b: block_encode(bytes(b), digits, size), "string")(data.cast("binary"))
+
+
+def readable(data: Column, base: str) -> Column:
+    return _each(lambda b: readable_encode(bytes(b), base), "string")(data.cast("binary"))
+
+
+def parse_readable(text: Column, base: str) -> Column:
+    return _checked(lambda t: readable_decode(t, base), "binary")(text)

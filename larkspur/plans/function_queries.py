@@ -84,6 +84,13 @@ def global_id_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", back.alias("r")).select("o_orderkey", "r.id", "r.kind")
 
 
+@query("SELECT item_id, md5(text) AS readable66, md5(text) AS readable92 FROM benchmark")
+def readable_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode("text", "UTF-8")
+    back = lambda base: F.md5(codecs.parse_readable(codecs.readable(data, base), base)["value"]).alias(f"readable{base}")
+    return read(spark, sf_dir, "benchmark").select("item_id", back("66"), back("92"))
+
+
 # --- text ---------------------------------------------------------------------------------------------------
 
 

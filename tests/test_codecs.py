@@ -107,3 +107,26 @@ def test_object_ids(spark):
     assert one(spark, C.git_blob_id(F.col("b")), b=b"hello\n") == "ce013625030ba8dba906f756967f9e9ca394464a"
     empty = one(spark, C.git_tree_id(F.array().cast("array<struct<mode:string,name:string,id:string>>")), b=b"")
     assert empty == "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+
+
+@pytest.mark.parametrize("base", ["66", "92"])
+def test_readable_encodings(spark, base):
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        data = b"".join(rng.choice([b"abc", b"word-", bytes([rng.randrange(256)]), b"~.", b"x" * rng.randrange(40)]) for _ in range(rng.randrange(12)))
+        text = C.readable_encode(data, base)
+        assert C.readable_decode(text, base, strict=True) == data
+        assert len(text) == len(C._plain_digits(base, data))
+    assert C.readable_decode(C.readable_encode(b"a" * 5000, base), base) == b"a" * 5000
+    assert bytes(one(spark, C.parse_readable(C.readable(F.col("b"), base), base), b=b"abc\x00def").value) == b"abc\x00def"
+    with pytest.raises(ValueError):
+        C.readable_decode("~", base) if base == "92" else C.readable_decode("A", base)
+
+
+def test_readable_vectors():
+    assert C.readable_encode(b"abc", "66") == "~abc" and C.readable_encode(b"abcdef", "66") == "..abcdef"
+    assert C.readable_encode(b"abcdefghi", "66") == ".3.abcdefghi" and C.readable_encode(b"abcdefghijkl", "66") == ".4.abcdefghijkl."
+    assert C.readable_encode(b"abcd", "92") == "~abcd" and C.readable_encode(b"abcdefgh", "92") == "||abcdefgh"
+    assert C.readable_encode(b"abcdefghijklmnop", "92") == "|4|abcdefghijklmnop|" and C.readable_encode(b"x" * 20, "92") == "|5|" + "x" * 20 + ".."
