@@ -146,6 +146,37 @@ def _weights_of(landmarks: list[bytes], beta: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def kernel(chars: np.ndarray, lengths: np.ndarray, known: np.ndarray, landmarks: list[bytes]) -> np.ndarray:
+    """Kernel of windows (rows) with landmarks (columns); their codes are computed once for all columns."""
+    slots, at, value = [], [], []
+    for k, word in enumerate(landmarks):
+        code, weight = features(word)
+        slots.append(code)
+        at.append(np.full(len(code), k))
+        value.append(weight)
+    used, where = np.unique(np.concatenate(slots), return_inverse=True)
+    table = np.zeros((len(used) + 1, len(landmarks)))
+    np.add.at(table, (where + 1, np.concatenate(at)), np.concatenate(value))
+    index = np.zeros(1 << TABLE, np.int32)
+    index[used] = np.arange(1, len(used) + 1)
+    out = np.zeros((len(chars), len(landmarks)))
+    for n in range(4, WINDOW + 1):
+        rows = np.flatnonzero(lengths == n)
+        for s in range(0, len(rows), 1 << 10):
+            part = rows[s : s + (1 << 10)]
+            found = [(np.nonzero(hit := index.take(code)), hit, weight) for weight, code in _codes(chars[part, :n])]
+            row = np.concatenate([r for (r, _), _, _ in found])
+            if not len(row):
+                continue
+            column = np.concatenate([hit[r, c] for (r, c), hit, _ in found])
+            weight = np.concatenate([np.full(len(r), w) for (r, _), _, w in found])
+            order = np.argsort(row, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(row[order]) > 0)))
+            out[part[row[order][first]]] = np.add.reduceat(table[column[order]] * weight[order, None], first)
+            out[part] /= known[part, None]
+    return out
+
+
 def gapped(word: bytes, rng: np.random.Generator, variants: int = 8) -> list[bytes]:
     """Variants of a unit with one character inserted within it: what the machine has to tolerate."""
     spots = rng.integers(1, max(2, len(word)), variants).tolist()
@@ -255,7 +286,7 @@ class ToxicityModel:
             first = np.unique(of, return_index=True)[1]
             chars, lengths = chars[first], lengths[first]
             known = all_norms(chars, lengths)
-            k = np.stack([products(chars, lengths, _weights_of([m], np.ones(1)), known) for m in landmarks], axis=1)
+            k = kernel(chars, lengths, known, landmarks)
             position = {w: i for i, w in enumerate(words)}
             inner = k[[position[m] for m in landmarks]]
             value, vector = np.linalg.eigh((inner + inner.T) / 2)
