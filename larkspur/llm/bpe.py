@@ -74,7 +74,7 @@ def encode_plain(enc, text: str) -> np.ndarray:
 
 
 def decode(enc, ids: np.ndarray) -> bytes:
-    return enc.decode_bytes(ids.tolist())
+    return b"".join(enc.decode_bytes(ids[at : at + PIECE].tolist()) for at in range(0, len(ids), PIECE))
 
 
 def _mapped(docs: DataFrame, extra: list[tuple[str, str]], work, path: str, pattern: str, keep: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,23 @@ def byte_chunks(texts: list[bytes | None], limit: int):
         yield start, len(texts)
 
 
+_GAP = re.compile(rb"[\x09-\x0d\x20]")
+#: A longer text is worked on in parts.
+SEGMENT = 4 << 20
+
+
+def segments(text: bytes, limit: int | None = None):
+    """A text in order, cut at white space into parts of about limit bytes; a longer word stays whole."""
+    limit, at = limit or SEGMENT, 0
+    while len(text) - at > limit:
+        m = _GAP.search(text, at + limit)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 # --- cells: groups of rows that are compared with each other --------------------------------------
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import byte_chunks, byte_values, held_out, slices, table
+from larkspur.llm.common import byte_chunks, byte_values, held_out, segments, slices, table
 from larkspur.llm.labelled import score_schema, training_rows
 
 #: Most labelled rows that the trees are fitted on.
@@ -19,7 +19,7 @@ SAMPLE = 8000
 TREES, DEPTH, RATE, EDGES, LEAST_ROWS, LAMBDA = 80, 4, 0.15, 63, 8, 1.0
 THRESHOLD, CHUNK = 0.7, 1 << 19
 KINDS = 11
-_KIND = np.full(256, 8, np.int64)  # 8: other marks
+_KIND = np.full(256, 8, np.uint8)  # 8: other marks
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:192], _KIND[192:] = 0, 1, 2, 9, 10
 for _k, _chars in ((3, b" \t\x0b\x0c\r"), (4, b"\n"), (5, b".,;:?'\""), (6, b"!"), (7, b"#$%&*@^~+=|<>_\\/")):
     _KIND[list(_chars)] = _k
@@ -48,29 +48,37 @@ def statistics(texts: list[bytes | None]) -> np.ndarray:
     return np.concatenate([_statistics([t or b"" for t in texts[s:e]]) for s, e in byte_chunks(texts, CHUNK)]) if texts else np.zeros((0, len(NAMES)))
 
 
-def _statistics(texts: list[bytes]) -> np.ndarray:
-    n, sizes = len(texts), np.array([len(t) for t in texts], np.int64)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Counts of each text's kinds of bytes; owner, length, hash and last kind of byte of each word."""
+    n = len(texts)
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)  # a blank ends every text
     kind = _KIND[data]
-    doc = np.repeat(np.arange(n), sizes + 1)
-    count = np.bincount(doc * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS).astype(float)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) + 1 for t in texts])
+    count = np.bincount(doc * np.int32(KINDS) + kind, minlength=n * KINDS).reshape(n, KINDS).astype(float)
+    count[:, 3] -= 1
     blank = (kind == 3) | (kind == 4)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    owner, length = doc[starts], ends - starts
+    if not len(starts):
+        return count, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), kind[:0]
+    lead = np.zeros(len(data), np.int64)
+    lead[starts[0] :] = np.repeat(starts, np.diff(np.append(starts, len(data))))
+    value = np.where(blank, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * _MIX[(np.arange(len(data)) - lead) & 63])
+    hashes = np.add.reduceat(value, starts)
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return count, doc[starts].astype(np.int64), ends - starts, hashes, kind[ends - 1]
+
+
+def _statistics(texts: list[bytes]) -> np.ndarray:
+    n, sizes = len(texts), np.array([len(t) for t in texts], np.int64)
+    if n == 1 and len(texts[0]) > 2 * CHUNK:  # a long text's words are gathered part by part
+        parts = [_words([part]) for part in segments(texts[0], CHUNK)]
+        count = sum(p[0] for p in parts)
+        owner, length, hashes, tail = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+    else:
+        count, owner, length, hashes, tail = _words(texts)
     words = np.bincount(owner, minlength=n).astype(float)
     per = np.maximum(words, 1)
-    if len(starts):
-        inside = ~blank
-        within = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else None
-        if within is None:
-            lead = np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))))
-            within = np.arange(len(data)) - lead
-        value = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * _MIX[within & 63], np.uint64(0))
-        hashes = np.add.reduceat(value, starts)
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    else:
-        hashes = np.zeros(0, np.uint64)
     distinct, most = _distinct(owner, hashes, n)
     same = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
     repeats = np.bincount(owner[1:][same], minlength=n)
@@ -82,7 +90,6 @@ def _statistics(texts: list[bytes]) -> np.ndarray:
     mean = np.bincount(owner, length, n) / per
     spread = np.sqrt(np.maximum(np.bincount(owner, length.astype(float) ** 2, n) / per - mean**2, 0))
     share = lambda hit: np.bincount(owner[hit], minlength=n) / per
-    tail = kind[ends - 1] if len(ends) else kind[:0]
     letters = np.maximum(count[:, 0] + count[:, 1] + count[:, 10], 1)
     size = np.maximum(sizes, 1)
     columns = [

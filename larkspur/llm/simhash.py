@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import LocalForest, byte_values, checkpointed, components, grouped_batches, split_hot_cells, table
+from larkspur.llm.common import LocalForest, byte_values, checkpointed, components, grouped_batches, segments, slices, split_hot_cells, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Bounded sample of fingerprints from which vantage points are chosen.
@@ -29,22 +29,30 @@ LEVELS = [[np.uint64(sum(1 << b for b in range(s, min(s + (4 if s == 60 else 3),
 LEAVES = 5**7
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every run of `shingle` words, space-joined."""
     whole = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(whole, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    hashes = np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):
-        part = hashes[at : at + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    n = len(words) - shingle + 1
+    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles; 0 without words. Long texts are hashed part by part."""
+    ones, n, carried = np.zeros(BITS, np.int64), 0, []
+    for part in segments(text):
+        words = carried + part.lower().split()
+        if len(words) < shingle:
+            carried = words
+            continue
+        hashes = shingle_hashes(words, shingle)
+        carried, n = words[len(words) - shingle + 1 :], n + len(hashes)
+        for at in range(0, len(hashes), 1 << 15):
+            ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(carried), SEED) if carried else 0
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -53,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t or b"") for t in byte_values(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import byte_values, held_out, slices, table
+from larkspur.llm.common import SEGMENT, byte_values, held_out, segments, slices, table
 from larkspur.llm.labelled import score_schema, training_rows
 
 #: Bounds of the fit: labelled documents, bytes of a training text, landmarks, units in a round, rounds.
@@ -45,6 +45,8 @@ _NORMS = np.sqrt(np.array([max(sum(DECAY ** (2 * (c + 1)) * max(0, n - c) for *_
 
 def units(text: bytes) -> set[bytes]:
     """The different units of a text, in small letters."""
+    if len(text) > SEGMENT:
+        return set().union(*map(units, segments(text, SEGMENT // 2)))
     text = text.lower()
     out = {t.strip(_EDGES) for t in set(text.split())}
     marked = [t for t in out if not t.isalnum()]  # marks or letters beyond ASCII

@@ -88,3 +88,10 @@ def test_query(spark, docs, table_dir):
     out = S.op1_simhash_near_dedup(spark, table_dir(documents=docs([(3, "a b c d", "en", "s"), (2, "A  b\nc d", "en", "s"), (1, "", "en", "s")]))).collect()
     assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 2}
     assert {r.fingerprint for r in out if r.doc_id > 1} == {f"{brute_fingerprint('a b c d'):016x}"}
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = [t.encode() for t in near_texts(9)] + [b"", b"  ", b"x" * 300, b"a b c", b"a  b\tc\nd e"]
+    whole = [S.fingerprint(t) for t in texts]
+    monkeypatch.setattr("larkspur.llm.common.SEGMENT", 40)
+    assert [S.fingerprint(t) for t in texts] == whole

@@ -154,6 +154,15 @@ def test_statistics_of_odd_texts():
     assert x[4, name["adjacent_repeats"]] == 49_999 / 50_000 and x[4, name["commonest_word"]] == 1
 
 
+def test_statistics_and_units_of_long_texts_in_parts(monkeypatch):
+    rng = random.Random(2)
+    text = "\n".join(noise(rng) + "!! AB," for _ in range(30)).encode()
+    whole, bag = quality.statistics([text]), toxicity.units(text)
+    monkeypatch.setattr(quality, "CHUNK", 500)
+    monkeypatch.setattr(toxicity, "SEGMENT", 800)
+    assert np.allclose(quality.statistics([text]), whole) and toxicity.units(text) == bag
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_take_odd_rows(spark, odd, empty, module, label):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
