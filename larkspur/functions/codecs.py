@@ -361,6 +361,132 @@ def readable_decode(text: str, base: str, strict: bool = False) -> bytes:
     return data
 
 
+# --- Z85 with escapes for raw runs -----------------------------------------------------------------------------
+
+#: Raw bytes after an escape at a block's start, and, behind one to three prefix digits, the raw
+#: bytes and whether the prefix is little-endian.
+ESCAPE_FIRST = {"_": 7, ";": 6, "~": 5, ",": 4, "`": 3}
+ESCAPE_LATER = {"_": (7, True), ";": (6, True), "~": (6, False), ",": (4, True), "`": (4, False)}
+_ESCAPED_SAFE = re.compile(("[" + re.escape(Z85 + ",`;~_|") + "]*").encode())
+
+
+def _number_digits(value: int, width: int) -> str:
+    out = ""
+    for _ in range(width):
+        value, digit = divmod(value, 85)
+        out = Z85[digit] + out
+    return out
+
+
+def _digits_number(digits: str) -> int:
+    value = 0
+    for d in digits:
+        if d not in Z85:
+            raise ValueError(f"invalid digit {d!r}")
+        value = value * 85 + Z85.index(d)
+    return value
+
+
+def escaped85_encode(data: bytes) -> str:
+    """Z85 in which an escape stands for a fixed number of raw bytes, filled with `.` to whole blocks of five.
+
+    The longest raw run at a block's start is taken; else the shortest prefix of one to three bytes that as
+    many digits can hold and that a run follows; else a block of four bytes. A short last block is
+    right-aligned: n bytes are the last n + 1 digits of their number.
+    """
+    out, at = [], 0
+    while at < len(data):
+        run = _ESCAPED_SAFE.match(data, at, at + 10).end() - at
+        escape, prefix, count = next(((e, "", c) for e, c in ESCAPE_FIRST.items() if run >= c), (None, "", 0))
+        size = 0
+        for size in range(1, 4) if not escape else ():
+            run = _ESCAPED_SAFE.match(data, at + size, at + size + 7).end() - at - size if at + size < len(data) else 0
+            values = {little: int.from_bytes(data[at : at + size], "little" if little else "big") for little in (True, False)}
+            escape, count, value = next(((e, c, values[le]) for e, (c, le) in ESCAPE_LATER.items() if run >= c and values[le] < 85**size), (None, 0, 0))
+            if escape:
+                prefix = _number_digits(value, size)
+                break
+        if escape:
+            start = at + len(prefix)
+            text = prefix + escape + data[start : start + count].decode()
+            out.append(text + "." * (-len(text) % 5))
+            at = start + count
+        else:
+            block = data[at : at + 4]
+            out.append(_number_digits(int.from_bytes(block, "big"), len(block) + 1))
+            at += 4
+    return "".join(out)
+
+
+def escaped85_decode(text: str) -> bytes:
+    """Inverse of escaped85_encode; also takes `|` runs, whose length in base 42 stands before the mark (0: to the end)."""
+    out, at = [], 0
+    while at < len(text):
+        block = text[at : at + 5]
+        spot = next((k for k, c in enumerate(block) if c in ",`;~_|"), None)
+        if spot is None:
+            value, size = _digits_number(block), len(block) * 4 // 5
+            if len(block) == 5 and value >= 1 << 32:
+                raise ValueError("a block is out of range")
+            out.append((value % 256**size).to_bytes(size, "big"))
+            at += 5
+            continue
+        escape = block[spot]
+        if len(block) < 5 and escape != "|":
+            raise ValueError("an escape in a short block")
+        start = at + spot + 1
+        if escape == "|":
+            count = base42_length(block[:spot], spot in (0, 4))[0] or len(text) - start
+        elif spot == 0:
+            count = ESCAPE_FIRST[escape]
+        elif spot <= 3:
+            count, little = ESCAPE_LATER[escape]
+            value = _digits_number(block[:spot])
+            out.append((value % 256**spot).to_bytes(spot, "little" if little else "big"))
+        else:
+            raise ValueError("an escape at the end of a block")
+        raw = text[start : start + count].encode()
+        if len(raw) < count:
+            raise ValueError("raw bytes are missing")
+        out.append(raw)
+        at = -(-(start + count) // 5) * 5
+    return b"".join(out)
+
+
+def base42_digits(length: int, little: bool | None = None) -> str:
+    """A raw run's length, 0 or from 8 on, in base 42: digits are one up, all but the first another 42 up.
+
+    With little given, the first digit also tells the byte order: 21 up for big-endian.
+    """
+    if length and not 8 <= length < 42**4:
+        raise ValueError("no length of a raw run")
+    values, rest = [], length
+    while rest or not values:
+        rest, digit = divmod(rest, 42)
+        values.insert(0, digit)
+    if little is not None:
+        if values[0] > 20:
+            raise ValueError("no room for the byte order")
+        values[0] += 0 if little else 21
+    return "".join(Z85[v + 1 + (42 if k else 0)] for k, v in enumerate(values))
+
+
+def base42_length(digits: str, aligned: bool) -> tuple[int, bool]:
+    """(length, little-endian) of base-42 digits; aligned ones carry no byte order."""
+    total, little = 0, True
+    for k, d in enumerate(digits):
+        value = _digits_number(d) - 1
+        if value < 0:
+            raise ValueError("invalid length digit")
+        value %= 42
+        if k == 0 and not aligned:
+            little, value = value < 21, value % 21
+        total = total * 42 + value
+    if 0 < total < 8:
+        raise ValueError("a raw run is too short")
+    return total, little
+
+
 # --- as column functions -------------------------------------------------------------------------------
 
 
@@ -445,3 +571,11 @@ def readable(data: Column, base: str) -> Column:
 
 def parse_readable(text: Column, base: str) -> Column:
     return _checked(lambda t: readable_decode(t, base), "binary")(text)
+
+
+def escaped85(data: Column) -> Column:
+    return _each(lambda b: escaped85_encode(bytes(b)), "string")(data.cast("binary"))
+
+
+def parse_escaped85(text: Column) -> Column:
+    return _checked(escaped85_decode, "binary")(text)

@@ -84,6 +84,12 @@ def global_id_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", back.alias("r")).select("o_orderkey", "r.id", "r.kind")
 
 
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def escaped85_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = codecs.parse_escaped85(codecs.escaped85(F.encode("text", "UTF-8")))["value"]
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("digest"))
+
+
 @query("SELECT item_id, md5(text) AS readable66, md5(text) AS readable92 FROM benchmark")
 def readable_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode("text", "UTF-8")

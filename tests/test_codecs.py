@@ -130,3 +130,31 @@ def test_readable_vectors():
     assert C.readable_encode(b"abcdefghi", "66") == ".3.abcdefghi" and C.readable_encode(b"abcdefghijkl", "66") == ".4.abcdefghijkl."
     assert C.readable_encode(b"abcd", "92") == "~abcd" and C.readable_encode(b"abcdefgh", "92") == "||abcdefgh"
     assert C.readable_encode(b"abcdefghijklmnop", "92") == "|4|abcdefghijklmnop|" and C.readable_encode(b"x" * 20, "92") == "|5|" + "x" * 20 + ".."
+
+
+def test_escaped85_round_trip(spark):
+    import random
+
+    assert C.escaped85_encode(b"") == "" and C.escaped85_encode(b"abc") == "`abc." and C.escaped85_encode(b"abcdefg") == "_abcdefg.."
+    assert C.escaped85_encode(b"\x00\x00\x00\x00") == "00000" and C.escaped85_encode(b"\x01abcd") == "1,abcd...."
+    assert C.escaped85_encode(b"\xff") == "30" and C.escaped85_decode("30") == b"\xff"
+    rng = random.Random(6)
+    for _ in range(600):
+        data = b"".join(rng.choice([b"abc", b"safe run!", bytes([rng.randrange(256)]), b"\x00", b"\x54", b"x" * rng.randrange(20)]) for _ in range(rng.randrange(10)))
+        assert C.escaped85_decode(C.escaped85_encode(data)) == data
+    assert bytes(one(spark, C.parse_escaped85(C.escaped85(F.col("b"))), b=b"\x00raw bytes\x01").value) == b"\x00raw bytes\x01"
+    for bad in ("%nSc1", "a_", "abcd_", "_abc", "\u00e9aaaa"):
+        with pytest.raises(ValueError):
+            C.escaped85_decode(bad)
+
+
+def test_base42_lengths():
+    assert C.base42_digits(50) == "2P" and C.base42_length("2P", True) == (50, True)
+    for n in (0, 8, 10, 42, 50, 100, 1000, 10_000, 42**4 - 1):
+        assert C.base42_length(C.base42_digits(n), True)[0] == n
+    for n in (8, 20, 50, 800):
+        for little in (True, False):
+            assert C.base42_length(C.base42_digits(n, little), False) == (n, little)
+    with pytest.raises(ValueError):
+        C.base42_digits(5)
+    assert C.escaped85_decode("9|abcdefgh") == b"abcdefgh" and C.escaped85_decode("1|to the end") == b"to the end"
