@@ -53,6 +53,27 @@ def epoch_at_noon(date: Column) -> Column:
     return F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + 43684
 
 
+def zoned_time(iso: Column) -> Column:
+    """struct(seconds, offset_minutes) of an ISO-8601 time with an offset or Z; null for another text."""
+    pattern = r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d:\d\d)(?:\.\d+)?(Z|([+-])(\d\d):?(\d\d))$"
+    part = lambda k: F.regexp_extract(iso, pattern, k)
+    minutes = F.when(part(3) == "Z", 0).otherwise(F.when(part(4) == "-", -1).otherwise(1) * (part(5).try_cast("int") * 60 + part(6).try_cast("int")))
+    local = F.datediff(part(1).try_cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    clock = F.substring(part(2), 1, 2).try_cast("long") * 3600 + F.substring(part(2), 4, 2).try_cast("long") * 60 + F.substring(part(2), 7, 2).try_cast("long")
+    return F.when(iso.rlike(pattern), F.struct((local + clock - minutes * 60).alias("seconds"), minutes.cast("int").alias("offset_minutes")))
+
+
+def zoned_text(seconds: Column, offset_minutes: Column) -> Column:
+    """ISO-8601 text of seconds and an offset; the inverse of zoned_time."""
+    local = seconds + offset_minutes * 60
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(local / 86400).cast("int"))
+    rest = F.pmod(local, F.lit(86400))
+    size = F.abs(offset_minutes)
+    sign = F.when(offset_minutes < 0, "-").otherwise("+")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat(day.cast("string"), F.lit("T"), clock, sign, F.format_string("%02d:%02d", F.floor(size / 60), size % 60))
+
+
 def path_similarity(left: Column, right: Column) -> Column:
     """How many trailing path components two paths share."""
     a, b = F.reverse(F.split(left, "/")), F.reverse(F.split(right, "/"))

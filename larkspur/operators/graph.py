@@ -108,6 +108,12 @@ def nearest_with_blob(edges: DataFrame, wanted: DataFrame, holders: DataFrame) -
     return near.groupBy("node", "blob", "path").agg(F.min(best).alias("b")).select("node", "blob", "path", F.col("b.found").alias("found"), F.col("b.at").alias("at"))
 
 
+def latest_parent_time(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """(node, seconds): the latest time of each node's parents; times: (node, seconds)."""
+    known = edges.select(F.col("child").alias("node"), "parent").join(times.select(F.col("node").alias("parent"), "seconds"), "parent")
+    return known.groupBy("node").agg(F.max("seconds").alias("seconds"))
+
+
 def tree_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, before, after) of paths whose content differs; null where there is none. Trees: (path, content)."""
     both = old.select("path", F.col("content").alias("before")).join(new.select("path", F.col("content").alias("after")), "path", "full_outer")

@@ -162,6 +162,14 @@ def shell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("c_custkey", word(1).alias("first"), word(2).alias("second"), F.size("s.args").cast("long").alias("words"), F.element_at("s.errors.kind", 1).alias("problem"))
 
 
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS seconds, CAST((o_orderkey % 53 - 26) * 30 AS INTEGER) AS offset_minutes FROM orders")
+def zoned_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with offsets, written as ISO-8601 and read back."""
+    seconds, offset = F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86400, ((F.col("o_orderkey") % 53 - 26) * 30).cast("int")
+    shown = read(spark, sf_dir, "orders").select("o_orderkey", text.zoned_text(seconds, offset).alias("iso"))
+    return shown.select("o_orderkey", text.zoned_time(F.col("iso")).alias("t")).select("o_orderkey", "t.seconds", "t.offset_minutes")
+
+
 # --- bijections -----------------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,12 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependency_closure(named.groupBy("name").agg(F.collect_list("d").alias("dependencies")))
 
 
+@query("SELECT e.child AS node, max(c.c_custkey * 31 % 1000) AS seconds FROM edges e JOIN customer c ON c.c_custkey = e.parent GROUP BY 1")
+def latest_parent_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = nodes(spark, sf_dir).withColumn("seconds", F.col("node") * 31 % 1000)
+    return graph.latest_parent_time(edges(spark, sf_dir), times)
+
+
 _TREE = "WITH old AS (SELECT 'd' || (p_partkey % 7) || '/f' || p_partkey AS path, p_name AS content FROM part WHERE p_partkey % 11 <> 0), new AS (SELECT 'd' || (p_partkey % 7) || '/f' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS content FROM part WHERE p_partkey % 13 <> 0)"
 
 

@@ -120,6 +120,11 @@ def packed_corpus(entries: DataFrame, most: int = 1024) -> DataFrame:
     return entries.distinct().orderBy(F.sha1("data"), "type").limit(most)
 
 
+def archived(original: DataFrame, now: DataFrame) -> DataFrame:
+    """Entries of an earlier corpus that are gone."""
+    return original.select("type", "data").distinct().join(now.select("type", "data"), ["type", "data"], "left_anti")
+
+
 def lockfile(spark: SparkSession, text: str) -> DataFrame:
     """(name, dependencies) of a TOML lockfile's packages."""
     packages = tomllib.loads(text).get("package", [])

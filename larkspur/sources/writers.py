@@ -78,3 +78,30 @@ def yaml_documents(df: DataFrame) -> DataFrame:
 def graph_json(df: DataFrame) -> DataFrame:
     """(value): each row as JSON, as a query's answer."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def snapshot(commits: DataFrame, edges: DataFrame, trees: DataFrame) -> list[dict]:
+    """A graph as the document that readers.snapshot reads: parents first, trees as changes to the first parent's.
+
+    A document is one file, so the graph comes to the driver; cut it with graph.prune before.
+    """
+    from larkspur.operators.graph import generation_index
+
+    nodes = commits.select(F.col("id").alias("node"))
+    order = generation_index(nodes, edges).withColumnRenamed("node", "id")
+    parents: dict[str, list[str]] = {}
+    for e in edges.orderBy("child", "ordinal").collect():
+        parents.setdefault(e.child, []).append(e.parent)
+    content: dict[str, dict[str, str]] = {}
+    for t in trees.collect():
+        content.setdefault(t.commit, {})[t.path] = t.content
+    out: list[dict] = []
+    for c in commits.join(order, "id").orderBy("generation", "seconds", "id").collect():
+        above, own = parents.get(c.id, []), content.get(c.id, {})
+        before = content.get(above[0], {}) if above else {}
+        change = {p: own.get(p) for p in sorted(before.keys() | own.keys()) if own.get(p) != before.get(p)}
+        made = {"id": c.id, "message": c.message, "author": c.author, "seconds": c.seconds, "tree": change}
+        if above != [d["id"] for d in out[-1:]]:
+            made["parents"] = above
+        out.append(made)
+    return out

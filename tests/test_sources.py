@@ -67,6 +67,7 @@ def test_corpora(spark, tmp_path):
     got = sorted((r.type, bytes(r.data)) for r in readers.packed_corpus(entries).collect())
     assert got == [("str", b"x:y"), ("u8", b"\x00a"), ("u8", b"b")]
     assert readers.packed_corpus(entries, 2).count() == 2
+    assert [r.type for r in readers.archived(entries, entries.where("type = 'u8'")).collect()] == ["str"]
     assert sorted(r.value for r in writers.corpus_lines(entries.distinct()).collect()) == ["str:x:y", "u8:\\x00a", "u8:b"]
 
 
@@ -81,6 +82,9 @@ def test_snapshot(spark):
     assert sorted(tuple(r) for r in trees.collect()) == [("a", "x", "1"), ("b", "y", "2"), ("c", "x", "1")]
     assert commits.count() == 3
     assert [tuple(r) for r in readers.first_parent_depths(edges, "b").collect()] == [("b", 0), ("a", 1)]
+    again = readers.snapshot(spark, writers.snapshot(commits, edges, trees))
+    for old, new in zip((commits, edges, trees), again, strict=True):
+        assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.collect()))
     with pytest.raises(ValueError):
         readers.snapshot(spark, [{"id": "a", "parents": ["z"]}])
 
