@@ -34,6 +34,15 @@ def bucket_count(rows: int, per_bucket: int, least: int) -> int:
     return max(least, -(-rows // per_bucket))
 
 
+#: Rows that a broadcast side may have at most.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast where its known number of rows allows one; else Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 # --- texts as bytes -------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bucket_count, checkpointed, crc_of, table
+from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, crc_of, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -160,7 +160,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources, mixed = mix(table(spark, sf_dir, "documents"))
     taken = mixed.groupBy("skey", "first", "size").agg(F.sum("words").alias("taken"))
-    out = rows.join(taken, ["skey", "first", "size"], "left").join(F.broadcast(sources.select("skey", "source_size", "target")), "skey")
+    figures = sources.select("skey", "source_size", "target")
+    out = rows.join(taken, ["skey", "first", "size"], "left").join(broadcast_if_small(figures, figures.count()), "skey")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 

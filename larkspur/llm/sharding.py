@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bucket_count, checkpointed, crc_of, table
+from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, crc_of, table
 
 SHARDS, SEED, BUCKET_ROWS = 24, 20240229, 50_000
 
@@ -66,7 +66,7 @@ def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = SHARDS,
     )
     here = Window.partitionBy("__bucket").orderBy(mark("local"), *keys)
     placed = (
-        dealt.withColumn("__at", F.row_number().over(here) - 1).join(F.broadcast(cuts), "__bucket")
+        dealt.withColumn("__at", F.row_number().over(here) - 1).join(broadcast_if_small(cuts, len(counts)), "__bucket")
         .withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__at"))).cast("int"))
         .drop("__bucket", "__cuts", "__at")
     )
