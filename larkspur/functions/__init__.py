@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: codecs, bijections, text and dynamic values."""

@@ -1 +1 @@
-"""See the package README."""
+"""Relational, stream, graph and hierarchy operators over DataFrames."""

@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries and the SQL that checks them."""

@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming versions of the text operators."""
