@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, langid, mixing, quality, simhash
-from larkspur.llm.common import table
+from larkspur.llm import bpe, langid, mixing, quality, shingle_dedup
+from larkspur.llm.common import checkpointed, table
 from larkspur.operators.lineage import shared_folder
 
 #: A document goes if no learned language reaches this posterior, or if its quality score is lower than this.
@@ -32,21 +32,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates.
+    """Keep the document with the smallest doc_id of each group of texts with five-word Jaccard 0.8 or more.
 
     Repeated rows of that doc_id are one document. Rows without a doc_id go with their group; where no
-    row of a group has one, they stay.
+    row of a group has one, one of them stays.
     """
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = checkpointed(shingle_dedup.near_duplicates(docs))
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("__key"))
+    kept = docs.where("doc_id is not null").join(least.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return kept.select(*docs.columns)
-    prints = simhash.fingerprints(nameless.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    alone = groups.where("component_id is null").select("fp").distinct()
-    ids = prints.join(alone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__row")).select("__row")
-    stay = nameless.withColumn("__row", F.monotonically_increasing_id()).join(ids, "__row", "left_semi").drop("__row")
+    alone = least.where("doc_id is null").select("__key")
+    stay = nameless.withColumn("__key", shingle_dedup.text_key()).join(alone, "__key", "left_semi").dropDuplicates(["__key"])
     return kept.select(*docs.columns).unionByName(stay.select(*docs.columns))
 
 
