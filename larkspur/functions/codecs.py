@@ -271,15 +271,15 @@ ALPHABETS = {
 def block_encode(data: bytes, digits: str, size: int) -> str:
     """Digits of each block of size bytes as one big-endian number; a short last block keeps as many as it needs."""
     base, out = len(digits), []
-    width = next(w for w in range(1, 99) if base**w >= 256**size)
+    needs = [next(w for w in range(99) if base**w >= 256**n) for n in range(size + 1)]
+    width = needs[size]
     for at in range(0, len(data), size):
         block = data[at : at + size]
         value, text = int.from_bytes(block.ljust(size, b"\0"), "big"), ""
         for _ in range(width):
             value, digit = divmod(value, base)
             text = digits[digit] + text
-        need = next(w for w in range(1, 99) if base**w >= 256 ** len(block))
-        out.append(text[:need])
+        out.append(text[: needs[len(block)]])
     return "".join(out)
 
 

@@ -66,13 +66,22 @@ def escaped_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, to_base64(encode(text[1:30])) AS b64, hex(encode(text[1:30])) AS b16 FROM documents")
 def block_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 30 characters in base 64 and 16: a short encoding is the feature here."""
+    """The first 30 characters in base 64 and 16, to be read; whole_block_encodings encodes all of each text."""
     data = F.encode(F.substring("text", 1, 30), "UTF-8")
     spare = F.pmod(-F.octet_length(data), 3)
     padded = F.concat(codecs.encode_blocks(data, "base64"), F.when(spare == 1, "=").when(spare == 2, "==").otherwise(""))
     return read(spark, sf_dir, "documents").select("doc_id", padded.alias("b64"), codecs.encode_blocks(data, "hex").alias("b16"))
 
 
+@query("SELECT doc_id, md5(to_base64(encode(text))) AS b64, md5(hex(encode(text))) AS b16 FROM documents")
+def whole_block_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text in base 64 and 16."""
+    data = F.encode("text", "UTF-8")
+    spare = F.pmod(-F.octet_length(data), 3)
+    padded = F.concat(codecs.encode_blocks(data, "base64"), F.when(spare == 1, "=").when(spare == 2, "==").otherwise(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(padded).alias("b64"), F.md5(codecs.encode_blocks(data, "hex")).alias("b16"))
+
+
 @query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS blob_id FROM documents")
 def blob_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", codecs.git_blob_id(F.encode("text", "UTF-8")).alias("blob_id"))
