@@ -8,6 +8,8 @@ join on the digest.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from larkspur.llm.common import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that states a copyright: after any marks, the word with a sign, a year, a placeholder or "by".
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9a-z<\[{]|©)[^\n]*$"
+#: Paragraphs of copyright lines without a sign or a year, as in "Copyright Joyent, Inc. and other contributors."
+UNSIGNED = r"(\A|\n[ \t\r]*\n)([^a-z0-9\n]*copyright[ \t][^\n]*(\n|\z)){1,99}(?=[ \t\r]*(\n|\z))"
+#: Quotes, dashes and blanks beyond ASCII and what they stand for; the last ones, without a width, go.
+DRESS = "\u201c\u201d\u201e\u201f\u00ab\u00bb\u2018\u2019\u201a\u201b\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0\u2002\u2003\u2007\u2009\u200a\u202f\u3000\u200b\ufeff\u00ad"
+UNDRESSED = '"' * 6 + "'" * 4 + "-" * 7 + " " * 8
 #: ASCII that is neither a letter nor a digit.
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Spellings that count as one, as whole words or word beginnings in the blank-separated form.
@@ -61,8 +68,8 @@ _BSD_END = (
     "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
     "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: Known licences and notices by name. Callers may pass their own.
-KNOWN = {
+#: Short licences and notices by name, which the SQL also has.
+SHORT = {
     "MIT": [f"MIT License\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_END}", f"{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_END}"],
     "MIT-0": [f"MIT No Attribution\n\n{_MIT_GRANT}.\n\n{_MIT_END}", f"{_MIT_GRANT}.\n\n{_MIT_END}"],
     "ISC": [f"ISC License\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}"],
@@ -76,10 +83,26 @@ KNOWN = {
 }
 
 
+def known_texts() -> dict[str, list[str]]:
+    """SHORT, further titles of MIT, and the full texts in license_texts: each whole, and without what follows its terms."""
+    out = SHORT | {"MIT": [*SHORT["MIT"], *[f"{title}\n\n{SHORT['MIT'][1]}" for title in ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)")]]}
+    for file in sorted(files("larkspur.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text, end = file.read_text("utf-8"), "END OF TERMS AND CONDITIONS"
+            terms = text.split(end)[0] if end in text else text
+            out[file.name[:-4]] = [text, terms + end, terms] if end in text else [text]
+    return out
+
+
+#: Known licences and notices by name. Callers may pass their own.
+KNOWN = known_texts()
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    out = F.translate(text, UPPER, LOWER)
+    out = F.translate(text, UPPER + DRESS, LOWER + UNDRESSED)
     out = F.regexp_replace(out, COPYRIGHT, " ")
+    out = F.regexp_replace(out, UNSIGNED, "\n\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, MARKS, " "), F.lit(" "))
     out = F.regexp_replace(out, "  +", " ")
     for found, put in SPELLINGS:
@@ -121,7 +144,7 @@ def _sql_canonical(text: str) -> str:
     return f"trim({out})"
 
 
-_VALUES = ", ".join(f"({_sql_string(name)}, {_sql_string(text)})" for name, texts in KNOWN.items() for text in texts)
+_VALUES = ", ".join(f"({_sql_string(name)}, {_sql_string(text)})" for name, texts in SHORT.items() for text in texts)
 QUERIES = {"op3_license_scan": op3_license_scan}
 ORACLE = {
     "op3_license_scan": f"""
