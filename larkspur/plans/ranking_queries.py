@@ -92,6 +92,17 @@ def progression_latest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.progression(runs).select("id", place.alias("place"))
 
 
+@query(
+    f", {_RECORDS} SELECT id, CAST(row_number() OVER (PARTITION BY game_id, category_id ORDER BY date DESC NULLS LAST, created DESC NULLS LAST, level_id NULLS FIRST, id) AS BIGINT) AS place "
+    "FROM records"
+)
+def progressions_latest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every category in display order; places are counted in each (game, category)."""
+    order = [F.desc_nulls_last("date"), F.desc_nulls_last("created"), F.asc_nulls_first("level_id"), F.col("id")]
+    place = F.row_number().over(Window.partitionBy("game_id", "category_id").orderBy(*order)).cast("long")
+    return ranking.progression(timed_runs(spark, sf_dir)).select("id", place.alias("place"))
+
+
 # --- joins ----------------------------------------------------------------------------------------------
 
 
