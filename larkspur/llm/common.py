@@ -94,20 +94,19 @@ def segments(text: bytes, limit: int | None = None):
 # --- cells: groups of rows that are compared with each other --------------------------------------
 
 
-def split_hot_cells(dealt: DataFrame, cells: int, rows_per_block: int) -> DataFrame:
-    """Give every row of `dealt` (cell int, home boolean, hash column `salt` long, ...) its tasks.
+def split_hot_cells(dealt: DataFrame, rows_per_block: int) -> DataFrame:
+    """Give every row of `dealt` (cell, home boolean, hash column `salt` long, ...) its tasks.
 
     A cell of up to rows_per_block rows is one task. A larger one is cut into blocks, and every pair
     of blocks becomes a task, so that no comparison is lost and no task grows with the cell. `role`
-    tells whether a row is compared from (1), compared with (2) or both (3). `cells` bounds the number
-    of different cells, and so the size of the broadcast table.
+    tells whether a row is compared from (1), compared with (2) or both (3). The table of large cells is
+    broadcast only if its counted rows allow it.
     """
-    hot = (
+    hot = checkpointed(
         dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_block)
         .select("cell", F.ceil(F.col("n") / rows_per_block).cast("int").alias("blocks"))
-        .limit(cells)
-    )
-    here = dealt.join(F.broadcast(hot), "cell", "left")
+    )
+    here = dealt.join(broadcast_if_small(hot, hot.count()), "cell", "left")
     own = F.pmod("salt", F.col("blocks")).cast("int")
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
     froms = F.when(F.col("home"), F.transform(across, lambda b: F.struct(own.alias("a"), b.alias("b"), F.lit(1).alias("role"))))

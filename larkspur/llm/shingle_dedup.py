@@ -23,8 +23,8 @@ BANDS, BAND = 40, 5
 LEAST_AGREEING = 130
 #: Partners of a node in a bucket for each round; None is all.
 ROUNDS = (3, 3, None)
-#: A bucket with more rows is cut into blocks; buckets cut this way at most.
-BUCKET_ROWS, CUT_BUCKETS = 2048, 100_000
+#: A bucket with more rows is cut into blocks.
+BUCKET_ROWS = 2048
 
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows_of = met.join(labelled, "node")
         apart = rows_of.groupBy("cell").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("cell")
         here = rows_of.join(apart, "cell").withColumns({"home": F.lit(True), "salt": F.xxhash64("node")})
-        found = checkpointed(verified(candidates(split_hot_cells(here, CUT_BUCKETS, BUCKET_ROWS), best), sets))
+        found = checkpointed(verified(candidates(split_hot_cells(here, BUCKET_ROWS), best), sets))
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.llm import kmeans_dedup as K
@@ -63,7 +64,7 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     rows += [[rng.gauss(0, 1) for _ in range(8)] for _ in range(150)]
     rows = list(enumerate(rows))
     f32 = {r.vec_id: r.embedding for r in vectors(spark, rows).collect()}
-    got = {r.vec_id: r for r in K.near_duplicates(vectors(spark, rows)).collect()}
+    got = {r.vec_id: r for r in K.near_duplicates(vectors(spark, rows), exact=True).collect()}
     norm = {i: math.sqrt(sum(x * x for x in v)) for i, v in f32.items()}
     near = {i: [j for j in f32 if j != i and sum(a * b for a, b in zip(f32[i], f32[j], strict=True)) / norm[i] / norm[j] >= 0.9] for i in f32}
     assert {i: r.n_links for i, r in got.items()} == {i: len(n) for i, n in near.items()}
@@ -80,3 +81,26 @@ def test_odd_vectors_link_with_nothing(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 7, 8)]
     assert got == sorted([*alone, (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False)])
     assert K.near_duplicates(vectors(spark, [])).count() == 0
+
+
+def test_probes_find_most_pairs_and_only_pairs(spark):
+    """Recall against brute force, with similarities down to the threshold; links only where there is one."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 32))
+    spread = rng.uniform(0.02, 0.33, (300, 1, 1))
+    x = (centres[:, None, :] + spread * rng.normal(size=(300, 6, 32))).reshape(-1, 32).astype(np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    rows = K.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    links = np.zeros(len(x), int)
+    for r in rows:
+        links[r.vec_id] = r.n_links
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.97 * near.sum() > 1000
+
+
+def test_cells_grow_with_the_table_and_rows_dealt_do_not():
+    assert [K.cell_count(n) for n in (0, 1, 100, 10_000, 10**6, 10**10)] == [1, 1, 5, 50, 500, 50_000]
+    rng = np.random.default_rng(2)
+    x = K.unit(rng.normal(size=(500, 16)))
+    own, row, cell = K.visited(x, K.unit(rng.normal(size=(40, 16))), 0.9, 6)
+    assert len(own) == 500 and len(row) == 500 * 5 and (cell != own[row]).all()

@@ -67,12 +67,58 @@ def test_trees_find_every_pair_within_the_radius(spark, monkeypatch):
         centre = rng.getrandbits(64)
         fps += [centre] + [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(25)]
     fps = sorted(set(fps))
-    reps = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "rep long, fp long")
-    sample = np.array(fps[::7], np.uint64).view(np.int64)
-    dealt = S.deal(reps, S.vantage_points(sample))
-    links = S.shard_links(S.split_hot_cells(dealt, 3 * S.LEAVES, S.SHARD_ROWS), S.RADIUS)
-    roots = {r.node: r.root for r in S.components(links).collect()}
+    reps = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "node long, fp long")
+    tasks = S.search_tasks(reps)
+    roots = {r.node: r.root for r in S.components(S.shard_links(tasks, S.RADIUS)).collect()}
     assert [roots.get(i, i) for i in range(len(fps))] == brute_components(list(enumerate(fps)))
+    pairs = {(r.src, r.dst) for r in S.nearest_pairs(tasks, S.RADIUS, 2).collect()}
+    distance = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+    assert pairs and all(i < j and distance(i, j) <= 4 for i, j in pairs)
+    for i in range(len(fps)):  # the nearest other is among them
+        least = min(distance(i, j) for j in range(len(fps)) if j != i)
+        assert least > 4 or any(distance(i, j) == least for j in range(len(fps)) if (min(i, j), max(i, j)) in pairs)
+
+
+def met(u, v, trees, vantage):
+    """Which pairs (u[i], v[i]) share a shard that one of them owns."""
+    out = np.zeros(len(u), bool)
+    for t, parts in enumerate(trees):
+        (ca, ra), (cb, rb) = S.paths(u, t, parts, vantage), S.paths(v, t, parts, vantage)
+        for own, cells, rows in ((ca, cb, rb), (cb, ca, ra)):
+            out[rows[cells == own[: len(u)][rows]]] = True
+    return out
+
+
+def test_every_family_of_trees_is_exact():
+    rng = np.random.default_rng(3)
+    u = rng.integers(0, 2**64, 800, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(800)]
+    v = u ^ np.array(flips, np.uint64)
+    for n, trees in ((50, 3), (10**6, 3), (10**9, 4), (10**11, 8)):
+        forest = S.forest(n, u[:300].view(np.int64))
+        assert len(forest) == trees and met(u, v, forest, u[:300]).all()
+
+
+def test_comparisons_do_not_grow_with_the_table():
+    rng, each = np.random.default_rng(4), []
+    for n in (50_000, 200_000, 1_000_000):
+        u = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sample, pairs = u[: S.VANTAGE_SAMPLE], 0
+        for t, parts in enumerate(S.forest(n, sample.view(np.int64))):
+            cell = S.paths(u, t, parts, sample)[0]
+            _, number, rows = np.unique(cell, return_inverse=True, return_counts=True)
+            pairs += (np.bincount(number[:n], minlength=len(rows)) * rows).sum()
+        each.append(pairs / n)
+    assert max(each) < 2 * min(each)
+
+
+def test_rows_without_ids_tie_groups(spark, docs):
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(words[: 297 + i]) for i in range(4)}
+    prints = [brute_fingerprint(t) for t in texts.values()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in zip(prints, prints[1:], strict=False))
+    rows = S.near_duplicates(docs([(9, texts[0], "en", "s"), (None, texts[1], "en", "s"), (None, texts[2], "en", "s"), (4, texts[3], "en", "s"), (None, "quite another text", "en", "s")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 4), (0, 4), (4, 4), (9, 4)]
 
 
 def test_odd_rows(spark, odd, empty):
