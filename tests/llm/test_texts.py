@@ -154,13 +154,38 @@ def test_statistics_of_odd_texts():
     assert x[4, name["adjacent_repeats"]] == 49_999 / 50_000 and x[4, name["commonest_word"]] == 1
 
 
-def test_statistics_and_units_of_long_texts_in_parts(monkeypatch):
+def test_statistics_of_long_texts_in_parts(monkeypatch):
     rng = random.Random(2)
     text = "\n".join(noise(rng) + "!! AB," for _ in range(30)).encode()
-    whole, bag = quality.statistics([text]), toxicity.units(text)
+    whole = quality.statistics([text])
     monkeypatch.setattr(quality, "CHUNK", 500)
-    monkeypatch.setattr(toxicity, "SEGMENT", 800)
-    assert np.allclose(quality.statistics([text]), whole) and toxicity.units(text) == bag
+    assert np.allclose(quality.statistics([text]), whole)
+
+
+def shown_windows(text):
+    units = toxicity.Units([text])
+    return {units.text(k) for k in range(len(units))}
+
+
+def test_windows_of_whole_words():
+    units = toxicity.Units([toxicity.normal(b"You ass, hat! Never\nkys")])
+    assert [units.text(k) for k in range(len(units))] == [b" you ass- hat ", b" ass- hat ", b" hat ", b" never ", b" kys "]
+    long = toxicity.Units([toxicity.normal(b"ab " + b"x" * 100 + b" cd")])
+    assert (long.end - long.start).max() <= toxicity.WINDOW + 2 and len(long) > 5
+    seen = np.zeros(len(long.x), bool)
+    for s, e in zip(long.start, long.end, strict=True):
+        seen[s:e] = True
+    assert seen[:-1].all()
+
+
+def test_windows_do_not_depend_on_the_parts_of_a_text():
+    rng = random.Random(3)
+    for text in (noise(rng, 900), "! ".join(noise(rng, 7) for _ in range(80)), noise(rng, 300) + "z" * 900 + " " + noise(rng, 200), "b o z o n k " * 300):
+        whole = toxicity.normal(text.encode())
+        joined = set().union(*(shown_windows(p) for p in toxicity.parts(whole, 300)))
+        assert shown_windows(whole) <= joined
+        if "z" * 9 not in text:  # a part may end a window early, and then a longer one stands beside it
+            assert all(any(w.strip() in v for v in shown_windows(whole)) for w in joined)
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
@@ -192,28 +217,53 @@ def test_toxicity_on_the_held_out_fold_and_with_gaps(spark, docs):
     assert (model.score([noise(rng).encode() for _ in range(50)]) < 0.7).all()
 
 
-def test_subsequence_kernel_matches_brute_force():
+def brute_kernel(a, b):
     from itertools import combinations
 
-    def brute(a, b):
-        def grams(w):
-            c = [int(toxicity._CLASS[x]) for x in w]
-            out = {}
-            for t in combinations(range(len(c)), 4):
-                span = t[-1] - t[0] + 1
-                if span <= toxicity.SPAN:
-                    key = tuple(c[i] for i in t)
-                    out[key] = out.get(key, 0) + toxicity.DECAY**span
-            return out
-
-        x, y = grams(a), grams(b)
-        dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
-        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
-
-    for a, b in ((b"clownish", b"clown"), (b"abababab", b"babababa"), (b"cl.own", b"clown"), (b"scum", b"scummy")):
-        chars, lengths, _ = toxicity.coded([a])
-        got = toxicity.products(chars, lengths, toxicity._weights_of([b], np.ones(1)), exact_above=-1.0)[0]
-        assert abs(got - brute(a, b)) < 1e-4
+    def grams(w):
+        c = [int(toxicity._CLASS[x]) for x in w]
+        out = {}
+        for start in range(len(c)):
+            for rest in combinations(range(start + 1, min(len(c), start + toxicity.SPAN)), 3):
+                key = (c[start], *(c[i] for i in rest))
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (rest[-1] - start + 1)
+        return out
+
+    def norm(n):
+        spans = [rest[-1] + 1 for rest in combinations(range(1, toxicity.SPAN), 3)]
+        return sum(toxicity.DECAY ** (2 * s) * max(0, n - s + 1) for s in spans) ** 0.5
+
+    x, y = grams(a), grams(b)
+    return sum(v * y.get(k, 0) for k, v in x.items()) / norm(len(a)) / norm(len(b))
+
+
+def test_sentence_kernel_matches_brute_force():
+    texts = [b" clownish way ", b" clown ", b" abababab ", b" babababa ab ", b" cl.own it ", b" b o z o n k ", b" \xc3\xa9t\xc3\xa9 12 "]
+    units = toxicity.whole(texts)
+    k = toxicity.kernel(units, np.arange(len(texts)), units)
+    for i, a in enumerate(texts):
+        folded = units.sums(toxicity.fold(units, np.array([i]), np.ones(1)))
+        for j, b in enumerate(texts):
+            assert abs(k[i, j] - brute_kernel(a, b)) < 1e-5 and abs(folded[j] - brute_kernel(a, b)) < 1e-5
+
+
+def test_short_insults_phrases_and_long_texts_count(spark, docs):
+    """Insults of three letters, and of words that are harmless alone, in labelled texts of any length."""
+    rng = random.Random(21)
+    rows, marks = [], []
+    for i in range(500):
+        words, bad = noise(rng, rng.choice([40, 50, 60, 60, 60, 3000])).split(), i % 3 == 0
+        both = ["zig", "vup"]
+        at = rng.randrange(len(words) - 1)
+        words[at + 1 : at + 1] = (["kyz"] if i % 2 else both) if bad else [both[i % 2]]
+        rows.append((i, " ".join(words), "en", "s"))
+        marks.append((i, 1, int(bad)))
+    df, labels = docs(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    unseen = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1]
+    score = model.score([rows[i][1].encode() for i in unseen])
+    assert np.mean((score >= 0.7) == np.array([i % 3 == 0 for i in unseen])) > 0.9
+    assert model.score([b"kyz"])[0] >= 0.7 and model.score([b"the zig here", b"a vup there"]).max() < 0.7
 
 
 def test_folds():
