@@ -29,7 +29,7 @@ from larkspur.llm.labelled import score_schema, training_rows
 
 #: Bounds of the fit: labelled documents, sentences of clean and of toxic ones, windows in a round,
 #: windows of a document not yet explained, windows that landmarks are picked from, landmarks, rounds.
-SAMPLE, CLEAN_SENTENCES, TOXIC_SENTENCES, UNITS, OPEN, SPANNING, LANDMARKS, ROUNDS = 8000, 20_000, 40_000, 3000, 3, 900, 300, 4
+SAMPLE, CLEAN_SENTENCES, TOXIC_SENTENCES, UNITS, OPEN, SPANNING, LANDMARKS, ROUNDS = 8000, 30_000, 40_000, 3000, 3, 900, 300, 4
 DECAY, SPAN, WINDOW = 0.65, 7, 22
 EIGEN, COST = 0.02, 4.0
 THRESHOLD = 0.7
@@ -37,6 +37,8 @@ THRESHOLD = 0.7
 CLEAR = 0.2
 #: Bytes of normalised text worked on at a time; longer sentences reach the fit in parts of PART bytes.
 CHUNK, PART = 1 << 18, 240
+#: Pairs of equal features that are held at a time.
+PAIRS = 1 << 19
 #: Character classes: 0 between sentences, a to z, then blank, digits, other marks, and the first and later bytes of letters beyond ASCII.
 BLANK, DIGIT, MARK, FIRST, LATER = 27, 28, 29, 30, 31
 _CLASS = np.full(256, MARK, np.uint32)
@@ -130,9 +132,9 @@ class Units:
         """The mean of the features of some windows, by table slot."""
         weight = np.ones(len(which)) if weight is None else weight
         out = np.zeros(TABLE)
-        for s in range(0, len(which), 4096):
-            row, slot, value = self.features(which[s : s + 4096])
-            out += np.bincount(slot, value * weight[s : s + 4096][row], TABLE)
+        for s in range(0, len(which), 2048):
+            row, slot, value = self.features(which[s : s + 2048])
+            out += np.bincount(slot, value * weight[s : s + 2048][row], TABLE)
         return (out / max(weight.sum(), 1e-9)).astype(np.float32)
 
     def text(self, k: int) -> bytes:
@@ -156,15 +158,21 @@ def kernel(units: Units, which: np.ndarray, landmarks: Units) -> np.ndarray:
     column, value = column[order], value[order]
     first = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=TABLE))))
     out = np.zeros((len(which), len(landmarks)), np.float32)
-    for s in range(0, len(which), 256):
-        part = which[s : s + 256]
+    for s in range(0, len(which), 128):
+        part = which[s : s + 128]
         row, code, weight = units.features(part)
         n = first[code + 1] - first[code]
         hit = np.flatnonzero(n)
-        row, code, weight, n = row[hit], code[hit], weight[hit], n[hit]
-        at = np.repeat(first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        cell = np.repeat(row, n) * len(landmarks) + column[at]
-        out[s : s + len(part)] = np.bincount(cell, np.repeat(weight, n) * value[at], len(part) * len(landmarks)).reshape(len(part), -1)
+        row, code, weight, n = row[hit] * len(landmarks), code[hit], weight[hit], n[hit]
+        sums, meets = np.zeros(len(part) * len(landmarks)), np.cumsum(n)
+        at = 0
+        while at < len(n):  # so many features that a bounded number of pairs is held
+            to = max(at + 1, int(np.searchsorted(meets, meets[at] + PAIRS)))
+            m = n[at:to]
+            pair = np.repeat(first[code[at:to]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            sums += np.bincount(np.repeat(row[at:to], m) + column[pair], np.repeat(weight[at:to], m) * value[pair], len(sums))
+            at = to
+        out[s : s + len(part)] = sums.reshape(len(part), -1)
     return out
 
 
@@ -433,7 +441,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityMode
     clean = found.where("label = 0").groupBy("sentence").agg(F.min("doc_id").alias("doc_id"))
     toxic = found.where("label = 1").join(clean.select("sentence"), "sentence", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id", "sentence").limit(TOXIC_SENTENCES)
     some = clean.orderBy(F.xxhash64("sentence"), "sentence").limit(CLEAN_SENTENCES)
-    return ToxicityModel(*[sorted((r["doc_id"], bytes(r["sentence"])) for r in part.select("doc_id", "sentence").collect()) for part in (toxic, some)])
+    pairs = [part.select("doc_id", "sentence").toArrow() for part in (toxic, some)]
+    return ToxicityModel(*[sorted(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)) for t in pairs])
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
