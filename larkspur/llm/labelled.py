@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import held_out
@@ -19,10 +19,17 @@ def training_ids(labels: DataFrame, label: str, modulus: int, remainder: int, bo
     return known.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id").limit(bound)
 
 
+#: Different texts of one id that a sample takes at most.
+TEXTS_EACH = 4
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, bound: int) -> DataFrame:
-    """(doc_id, text, label) of the sampled ids; repeated rows of an id all count."""
+    """(doc_id, text, label) of the sampled ids: each different text of an id once, TEXTS_EACH of them at most."""
     ids = training_ids(labels, label, modulus, remainder, bound)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id", "label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= TEXTS_EACH).select("doc_id", "text", "label")
 
 
 def score_schema(docs: DataFrame, name: str) -> str:

@@ -34,20 +34,86 @@ def test_language_on_the_held_out_fold(spark, docs):
 def test_language_learns_only_from_its_fold(spark, docs):
     rows = [(i, "aaa bbb", "xx" if zlib.crc32(str(i).encode()) % 4 == 2 else "yy", "s") for i in range(40)]
     df = docs(rows)
-    assert set(langid.sample_by_language(df)) == {"yy"}
+    assert {r.lang for r in langid.sample_by_language(df).collect()} == {"yy"}
+
+
+def ppm(texts):
+    return langid.PpmModel({k: langid.grams(v) for k, v in texts.items()})
+
+
+CATS = {"en": [b"the cat sat on the mat. " * 40, b"a dog. " * 30], "de": [b"der hund und die katze. " * 40]}
+
+
+def test_language_costs_are_a_distribution_over_all_bytes():
+    model = ppm(CATS)
+    others = 257 - model.size  # bytes that no text showed cost the same
+    for tree in model.trees:
+        p = np.exp2(-tree.costs.reshape(-1, model.size).astype(float))
+        assert np.allclose(p[:, 1:].sum(1) + others * p[:, 0], 1, atol=1e-4)
+
+
+def brute_bits(sample, text, least):
+    """PPM-C code length with exclusion, counted from the sample's contexts one byte at a time."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for t in sample:
+        t = b"\n\n\n" + t
+        for i in range(3, len(t)):
+            for order in range(4):
+                counts[order][t[i - order : i]][t[i]] += 1
+    total, padded = 0.0, b"\n\n\n" + text
+    for i in range(3, len(padded)):
+        depth = 0
+        while depth < 3 and sum(counts[depth + 1][padded[i - depth - 1 : i]].values()) >= least:
+            depth += 1
+        left, out, cost = 1.0, set(), None
+        for order in range(depth, -1, -1):
+            c = {k: n for k, n in counts[order][padded[i - order : i]].items() if k not in out}
+            if not c:
+                continue
+            if padded[i] in c:
+                cost = left * c[padded[i]] / (sum(c.values()) + len(c))
+                break
+            left *= len(c) / (sum(c.values()) + len(c))
+            out |= set(c)
+        total -= log2(cost if cost is not None else left / (256 - len(out)))
+    return total
+
+
+def test_code_lengths_match_a_walk_of_the_tree():
+    model = ppm(CATS)
+    for text in (b"the cat sat", b"der hund sat on a \xff\xfe katze", b"zzz 123", "漢字 the dog".encode()):
+        got = model.bits([text])[0]
+        want = [brute_bits(CATS[k], text, langid.LEAST_USES) for k in model.langs]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_languages_of_long_texts_only_are_learned(spark, docs):
+    rng = random.Random(13)
+    rows = [(i, prose("de" if i % 2 else "fr", 9000, rng), "de" if i % 2 else "fr", "s") for i in range(24)]
+    assert min(len(r[1]) for r in rows) > 32 << 10
+    df = docs(rows)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.fit(df)).select("doc_id", "lang_pred").collect()}
+    assert all(got[i] == rows[i][2] for i in range(24))
+
+
+def test_language_sample_is_bounded_by_rows(spark, docs):
+    df = docs([(None, "the same text", "en", "s")] * 900 + [(7, "der text", "de", "s")] * 900)
+    counts = {r.lang: r["count"] for r in langid.sample_by_language(df, 20).groupBy("lang").count().collect()}
+    assert set(counts) <= {"en", "de"} and all(0 < n <= 20 for n in counts.values())
 
 
-def test_language_costs_are_a_distribution():
-    model = langid.PpmModel({"en": [b"the cat sat on the mat. " * 40], "de": [b"der hund und die katze. " * 40]})
-    total = np.exp2(-model.costs.reshape(-1, model.size, 2).astype(float)).sum(1)
-    assert np.allclose(total, 1, atol=1e-3)
+def test_letters_by_category():
+    assert not any(langid.has_letter(t.encode()) for t in ("½ ②", "Ⅷ", "12 34", "_", "\u0301")) and all(langid.has_letter(t.encode()) for t in ("é", "漢", "x", "ª"))
 
 
 def test_long_texts_cost_the_sum_of_their_bytes(monkeypatch):
-    model = langid.PpmModel({"en": [b"the cat sat on the mat. " * 40], "de": [b"der hund und die katze. " * 40]})
-    text = b"the dog and the cat sat. " * 200
+    model = ppm(CATS)
+    text = "The dog and the cat sat. ÉÀ".encode() * 200
     whole = model.bits([text, b"short"])
-    monkeypatch.setattr(langid, "CHUNK", 100)
+    monkeypatch.setattr(langid, "CHUNK", 101)
     assert np.allclose(model.bits([text, b"short"]), whole, rtol=1e-6)
 
 
