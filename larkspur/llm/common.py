@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.lineage import cut
@@ -43,6 +43,20 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def numbered_copies(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a column `name`: 0, 1, ... for the rows equal in keys (nulls are values).
+
+    Copies are counted for each partition of a written table first and then numbered within it, so the copies
+    of one row are spread over as many tasks as it has partitions, and no task holds them all.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    placed = checkpointed(rows.select(F.struct(*columns).alias("r"), F.xxhash64(*keys).alias("k"), F.spark_partition_id().alias("at")))
+    before = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("k", "at").agg(F.count(F.lit(1)).alias("n")).select("k", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    here = F.row_number().over(Window.partitionBy("k", "at").orderBy("k")) - 1
+    return placed.withColumn("i", here).join(first, ["k", "at"]).select("r.*", (F.col("first") + F.col("i")).alias(name))
+
+
 # --- texts as bytes -------------------------------------------------------------------------------
 
 

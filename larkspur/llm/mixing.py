@@ -3,20 +3,18 @@
 Each source's documents, in a hashed order, are one stream of words cut into blocks of a fixed length. For every
 output shard the driver draws how many of its slots each source fills, from a multinomial over what the
 sources' targets still lack, so that the totals settle on the targets. A source's slots are numbered through
-all shards; slot k of pass p is block perm(k) of a pseudorandom permutation of the source's block indices that
-belongs to that source and pass. Slots and blocks meet in an equi-join on (source, index), so nothing is sorted or
+all shards; slot k of pass p is block perm(k) of a pseudorandom permutation of the source's block indices, a keyed
+Feistel walk that belongs to that source and pass. Slots and blocks meet in an equi-join on (source, index), so nothing is sorted or
 replicated by weight, and with at most two passes no document is taken more than twice.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, crc_of, table
+from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, numbered_copies, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -72,13 +70,29 @@ def draw_counts(wanted: list[float], room: list[int], shards: int, seed: int = S
     return out
 
 
-def permutation(n: int, source: int, run: int, seed: int = SEED) -> tuple[int, int]:
-    """Multiplier and shift of the affine permutation of 0..n-1 for a source's pass."""
-    rng = np.random.default_rng([seed, source, run])
-    a, b = (int(rng.integers(1, max(2, n))) for _ in range(2))
-    while math.gcd(a, n) != 1:
-        a = a % n + 1
-    return a, b
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Where a keyed pseudorandom permutation of 0..n-1 takes each index: a Feistel network on the next power of four, walked.
+
+    Rows have their own n and key. A value beyond n is permuted again until it is within, which keeps the map one to one.
+    """
+    out, n = index.astype(np.uint64), n.astype(np.uint64)
+    half = np.maximum((np.ceil(np.log2(np.maximum(n, 2).astype(float))).astype(np.int64) + 1) // 2, 1).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half[todo], out[todo] & mask[todo]
+        for r in range(rounds):
+            left, right = right, left ^ (_mixed(right + key[todo] + np.uint64(r * 0x9E3779B97F4A7C15 % 2**64)) & mask[todo])
+        out[todo] = (left << half[todo]) | right
+        todo = todo[out[todo] >= n[todo]]
+    return out.astype(np.int64)
 
 
 def source_key(col):
@@ -87,25 +101,29 @@ def source_key(col):
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, skey, crc, size, first): each row's first word in its source's stream."""
+    """(doc_id, source, skey, mark, size, first): each row's first word in its source's stream.
+
+    mark is a hash of the whole row; rows equal in all columns are numbered, so that their copies are spread.
+    """
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
     rows = docs.select(
-        "doc_id", "source", source_key(F.col("source")).alias("skey"), crc_of(F.col("text")).alias("crc"),
+        "doc_id", "source", source_key(F.col("source")).alias("skey"), everything.alias("mark"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    rows = checkpointed(rows)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "crc", F.lit(SEED)), bucket_count(rows.count(), BUCKET_ROWS, 64)).cast("int"))
+    rows = checkpointed(numbered_copies(rows, ["skey", "mark"], "copy"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("mark", "copy", F.lit(SEED)), bucket_count(rows.count(), BUCKET_ROWS, 64)).cast("int"))
     sums = rows.groupBy("skey", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    here = Window.partitionBy("skey", "part").orderBy(F.xxhash64("doc_id", "crc", F.lit("order")), "doc_id", "crc", "size").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("skey", "part").orderBy(F.xxhash64("mark", "copy", F.lit("order")), "mark", "copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(here)).join(sums, ["skey", "part"])
-    return placed.select("doc_id", "source", "skey", "crc", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("first"))
+    return placed.select("doc_id", "source", "skey", "mark", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("first"))
 
 
 def plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(skey, source_size, target, blocks, turns, draws): the mix of each source.
+    """(skey, source_size, target, blocks, draws): the mix of each source.
 
-    One line of figures for each source is on the driver, never its documents.
+    One line of figures for each source is on the driver, `shards` numbers in it, never its documents.
     """
     sums = sorted((r["skey"], r["n"]) for r in rows.groupBy("skey").agg(F.sum("size").alias("n")).collect())
     sizes = [n for _, n in sums]
@@ -116,24 +134,31 @@ def plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     lines = []
     for k, (key, n) in enumerate(sums):
         starts = np.concatenate(([0], np.cumsum(counts[:, k]))).tolist()
-        turns = [permutation(blocks[k], k, p, seed) for p in range(PASSES)] if n else []
-        lines.append((key, n, goal[k], blocks[k], turns, [(s, starts[s], starts[s + 1]) for s in range(shards) if starts[s + 1] > starts[s]]))
-    schema = "skey string, source_size long, target double, blocks long, turns array<struct<a:long,b:long>>, draws array<struct<shard:int,lo:long,hi:long>>"
+        lines.append((key, n, goal[k], blocks[k], [(s, starts[s], starts[s + 1]) for s in range(shards) if starts[s + 1] > starts[s]]))
+    schema = "skey string, source_size long, target double, blocks long, draws array<struct<shard:int,lo:long,hi:long>>"
     return rows.sparkSession.createDataFrame(lines, schema)
 
 
-def slots(sources: DataFrame) -> DataFrame:
+def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """(skey, shard, slot, pass, index): which block of its source each slot takes."""
-    runs = sources.select("skey", "blocks", "turns", F.explode("draws").alias("d")).select(
-        "skey", "blocks", "turns", "d.*", F.explode(F.sequence("d.lo", F.col("d.hi") - 1, F.lit(_RUN).cast("long"))).alias("at")
+    import pyarrow as pa
+
+    runs = sources.select("skey", "blocks", F.explode("draws").alias("d")).select(
+        "skey", "blocks", "d.*", F.explode(F.sequence("d.lo", F.col("d.hi") - 1, F.lit(_RUN).cast("long"))).alias("at")
     )
     runs = runs.repartition("skey", "at")
-    each = runs.select("skey", "blocks", "turns", "shard", F.explode(F.sequence("at", F.least(F.col("at") + _RUN, "hi") - 1)).alias("slot"))
-    each = each.withColumn("pass", F.expr("cast(slot div blocks as int)"))
-    turn = F.element_at("turns", F.col("pass") + 1)
-    wide = lambda c: c.cast("decimal(19,0)")
-    index = (wide(F.col("slot") % F.col("blocks")) * wide(turn["a"]) + wide(turn["b"])) % wide(F.col("blocks"))
-    return each.select("skey", "shard", "slot", "pass", index.cast("long").alias("index"))
+    each = runs.select("skey", "blocks", "shard", F.explode(F.sequence("at", F.least(F.col("at") + _RUN, "hi") - 1)).alias("slot"))
+    each = each.select("skey", "shard", "slot", F.expr("cast(slot div blocks as int)").alias("pass"), "blocks")
+    # each source and pass has a permutation of its own
+    each = each.withColumn("key", F.xxhash64("skey", "pass", F.lit(seed)))
+
+    def run(batches):
+        for b in batches:
+            slot, blocks, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4, 5))
+            index = permute(slot % blocks, blocks, key.view(np.uint64)) if len(slot) else slot
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(index, pa.int64())], ["skey", "shard", "slot", "pass", "index"])
+
+    return each.mapInArrow(run, "skey string, shard int, slot long, pass int, index long")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -142,23 +167,23 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = rows.where("size > 0").withColumn("index", F.explode(F.sequence(F.expr(f"first div {block}"), last)))
     start = F.greatest(F.col("index") * block, "first")
     end = F.least((F.col("index") + 1) * block, F.col("first") + F.col("size"))
-    return parts.select("doc_id", "skey", "crc", "size", "first", "index", (start - F.col("first")).alias("from"), (end - start).alias("words"))
+    return parts.select("doc_id", "skey", "mark", "size", "first", "index", (start - F.col("first")).alias("from"), (end - start).alias("words"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, mixed): documents in their streams, the plan, and the mixed pieces.
 
-    A mixed piece is (shard, slot, pass, doc_id, skey, crc, size, first, from, words). Documents without
-    words have no piece. Reruns agree: everything follows from doc_id, text, source and seed.
+    A mixed piece is (shard, slot, pass, doc_id, skey, mark, size, first, from, words). Documents without
+    words have no piece. Reruns agree: everything follows from the rows and the seed.
     """
     rows = checkpointed(positions(docs))
     sources = plan(rows, block, shards, seed)
-    mixed = pieces(rows, block).join(slots(sources).hint("merge"), ["skey", "index"])
+    mixed = pieces(rows, block).join(slots(sources, seed).hint("merge"), ["skey", "index"])
     return rows, sources, mixed
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, sources, mixed = mix(table(spark, sf_dir, "documents"))
+    rows, sources, mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = mixed.groupBy("skey", "first", "size").agg(F.sum("words").alias("taken"))
     figures = sources.select("skey", "source_size", "target")
     out = rows.join(taken, ["skey", "first", "size"], "left").join(broadcast_if_small(figures, figures.count()), "skey")
@@ -174,16 +199,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     _, _, mixed = mix(docs)
     part = F.struct("from", "words")
-    taken = mixed.groupBy("doc_id", "skey", "crc", "size", "first", "pass").agg(F.sum("words").alias("got"), F.sort_array(F.collect_list(part)).alias("parts"))
-    # the document travels as one struct, so that its columns' names cannot clash
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
-    whole = docs.select(key, source_key(F.col("source")).alias("__skey"), crc_of(F.col("text")).alias("__crc"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
-    whole = whole.dropDuplicates(["__id", "__skey", "__crc"])
-    taken = taken.select(key, F.col("skey").alias("__skey"), F.col("crc").alias("__crc"), F.col("size").alias("__size"), F.col("got").alias("__got"), F.col("parts").alias("__parts"))
+    taken = mixed.groupBy("skey", "mark", "size", "first", "pass").agg(F.sum("words").alias("got"), F.sort_array(F.collect_list(part)).alias("parts"))
+    # the document travels as one struct, so that its columns' names cannot clash; rows with one mark are equal
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)])
+    whole = docs.select(source_key(F.col("source")).alias("__skey"), everything.alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
+    whole = whole.dropDuplicates(["__skey", "__mark"])
+    taken = taken.select(F.col("skey").alias("__skey"), F.col("mark").alias("__mark"), F.col("size").alias("__size"), F.col("got").alias("__got"), F.col("parts").alias("__parts"))
     words = F.regexp_extract_all("__doc.text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
     text = F.when(F.col("__got") == F.col("__size"), F.col("__doc.text")).otherwise(cut)
-    out = whole.join(taken, ["__id", "__skey", "__crc"]).withColumn("__text", text)
+    out = whole.join(taken, ["__skey", "__mark"]).withColumn("__text", text)
     fresh = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*[fresh.get(c, F.col("__doc").getField(c)).alias(c) for c in columns])
 

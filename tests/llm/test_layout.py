@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import mixing as M
 from larkspur.llm import sharding as H
+from larkspur.llm.common import numbered_copies
 
 
 def test_matrix_has_exact_margins():
@@ -62,10 +63,56 @@ def test_draws_respect_room_and_totals():
 
 
 def test_permutations_visit_every_index():
-    for n in (1, 2, 7, 30, 97):
-        for run in (0, 1):
-            a, b = M.permutation(n, 3, run)
-            assert {(k * a + b) % n for k in range(n)} == set(range(n))
+    for n in (1, 2, 3, 7, 30, 97, 1000):
+        for key in (0, 5):
+            got = M.permute(np.arange(n), np.full(n, n), np.full(n, key, np.uint64))
+            assert sorted(got.tolist()) == list(range(n))
+    n = 4000
+    got = M.permute(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
+    assert len(set(np.diff(got).tolist())) > n // 3  # no fixed stride
+    assert (got != M.permute(np.arange(n), np.full(n, n), np.full(n, 10, np.uint64))).mean() > 0.99
+    mixed = M.permute(np.array([0, 1, 0]), np.array([1, 2, 1]), np.array([1, 2, 3], np.uint64))
+    assert mixed[0] == mixed[2] == 0 and mixed[1] in (0, 1)
+
+
+def test_copies_are_numbered_across_partitions(spark):
+    df = spark.range(600).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 == 0, F.lit("x")).alias("v")).repartition(7)
+    got = {}
+    for r in numbered_copies(df, ["k", "v"], "n").collect():
+        got.setdefault((r.k, r.v), []).append(r.n)
+    assert len(got) == 6 and all(sorted(v) == list(range(len(v))) for v in got.values())
+
+
+def test_large_draws_follow_the_exact_law():
+    rng = np.random.default_rng(6)
+    for good, bad, draws in ((30, 50, 20), (3, 400, 100), (500, 20, 400), (1, 1, 1), (10, 10, 20)):
+        got = np.array([H.large_hypergeometric(rng, good, bad, draws) for _ in range(6000)])
+        want = rng.hypergeometric(good, bad, draws, 200_000)
+        for k in np.unique(want):
+            p = (want == k).mean()
+            assert abs((got == k).mean() - p) < 5 * (p * (1 - p) / 6000) ** 0.5 + 0.003
+    big = np.array([H.large_hypergeometric(rng, 4 * 10**9, 9 * 10**9, 10**6) for _ in range(300)])
+    assert abs(big.mean() / (10**6 * 4 / 13) - 1) < 1e-3 and 380 < big.std() < 545  # 461 by the law
+
+
+def test_copies_of_one_row_and_clashing_names(spark, docs, monkeypatch):
+    monkeypatch.setattr(H, "BUCKET_ROWS", 20)
+    df = docs([(7, "the same text", "en", "s")] * 700 + [(i, f"text {i}", "en", "s") for i in range(300)], extra=True).selectExpr("*", "'y' AS row", "1 AS bucket", "2 AS h", "3 AS copy").repartition(6)
+    rows = H.shuffle_into_shards(df, ["doc_id", "text"], shards=5).collect()
+    assert len(rows) == 1000 and set(df.columns) - set(rows[0].asDict()) == set() and {r.row for r in rows} == {"y"}
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes.values()) == {200}
+    copies = Counter(r.shard for r in rows if r.doc_id == 7)
+    assert max(copies.values()) < 170 and min(copies.values()) > 110  # 140 expected
+
+
+def test_mix_spreads_copies_and_keeps_texts_of_one_id(spark, docs):
+    same = " ".join(f"w{k}" for k in range(300))
+    rows = [(1, same, "en", "a")] * 50 + [(1, same.replace("w", "v"), "en", "a")] * 3 + [(2, same.replace("w", "u"), "en", "b")]
+    out = M.mixed_documents(docs(rows)).collect()
+    assert {r.text[0] for r in out} == {"w", "v", "u"}
+    placed = M.positions(docs(rows)).collect()
+    assert len({(r.skey, r["first"]) for r in placed}) == 54
 
 
 def test_mix_by_source(spark, docs, table_dir):
