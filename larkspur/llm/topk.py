@@ -24,32 +24,35 @@ TILE = 1 << 21
 
 
 def usable(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, x array<long>): floor(scale * component) of the vectors without null or non-finite components."""
+    """(vec_id, x array<long>, row): floor(scale * component) of the vectors without null or non-finite components.
+
+    row numbers the rows; it holds only for a table written once.
+    """
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         .where(F.col("embedding").isNotNull() & ~bad)
-        .select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale).cast("long")).alias("x"))
+        .select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale).cast("long")).alias("x"), F.monotonically_increasing_id().alias("row"))
     )
 
 
 def _grid(queries: DataFrame, candidates: DataFrame, bounds: DataFrame, qblocks: int, cblocks: int) -> DataFrame:
     """Both sides dealt to every cell (i, j) that needs them, sorted by cell."""
-    q = queries.join(bounds, "vec_id").select(
-        F.pmod(F.xxhash64("vec_id"), qblocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1))).alias("j"),
-        F.lit(True).alias("query"), "vec_id", "x", "lo", "hi", "width", "need",
+    q = queries.join(bounds, "row").select(
+        F.pmod(F.xxhash64("row"), qblocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1))).alias("j"),
+        F.lit(True).alias("query"), "vec_id", "row", "x", "lo", "hi", "width", "need",
     )
     zero = F.lit(0).cast("long")
     c = candidates.select(
-        F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("i"), F.pmod(F.xxhash64("vec_id", "x"), cblocks).cast("int").alias("j"),
-        F.lit(False).alias("query"), "vec_id", "x", *[zero.alias(c) for c in ("lo", "hi", "width", "need")],
+        F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("i"), F.pmod(F.xxhash64("row"), cblocks).cast("int").alias("j"),
+        F.lit(False).alias("query"), "vec_id", "row", "x", *[zero.alias(c) for c in ("lo", "hi", "width", "need")],
     )
     cells = q.unionByName(c)
     return cells.repartition(qblocks * cblocks, "i", "j").sortWithinPartitions("i", "j")
 
 
 def _cells(batches):
-    """Per cell: (query ids, lo, width, need, candidate ids sorted, function giving score tiles)."""
+    """Per cell, tile by tile: (query rows, the cell, ids, which are null, row numbers, candidates by id, scores, which are the query itself)."""
     for g in grouped_batches(batches, ["i", "j"]):
         is_query = g.column("query").to_numpy()
         ids = g.column("vec_id").to_pandas().astype("Int64")
@@ -61,7 +64,7 @@ def _cells(batches):
         if not len(q) or not len(c):
             continue
         null = ids.isna().to_numpy()
-        key = ids.fillna(0).to_numpy(np.int64)
+        key, number = ids.fillna(0).to_numpy(np.int64), g.column("row").to_numpy()
         c = c[np.lexsort((key[c], null[c]))]  # a null vec_id comes last
         for d in np.unique(dims[q]):
             own, other = q[dims[q] == d], c[dims[c] == d]
@@ -77,15 +80,15 @@ def _cells(batches):
                 rows = own[at : at + step]
                 score = left[at : at + step] @ right
                 score = score.astype(np.int64)
-                itself = (key[other][None, :] == key[rows][:, None]) & ~null[other][None, :]
-                yield rows, g, key, null, other, score, itself
+                itself = number[other][None, :] == number[rows][:, None]
+                yield rows, g, key, null, number, other, score, itself
 
 
 def _histograms(cells: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for rows, g, key, _, _, score, itself in _cells(batches):
+        for rows, g, _, _, number, _, score, itself in _cells(batches):
             lo = g.column("lo").to_numpy()[rows]
             hi = g.column("hi").to_numpy()[rows]
             width = g.column("width").to_numpy()[rows]
@@ -101,20 +104,20 @@ def _histograms(cells: DataFrame) -> DataFrame:
                 n = np.bincount(b, minlength=BINS)
                 top = np.cumsum(n[::-1])[::-1]
                 keep = np.flatnonzero((n > 0) & (top - n < need[r]))
-                out_q.append(np.full(len(keep), key[rows[r]]))
+                out_q.append(np.full(len(keep), number[rows[r]]))
                 out_b.append(keep)
                 out_n.append(n[keep])
             if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (out_q, out_b, out_n)], ["vec_id", "bin", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (out_q, out_b, out_n)], ["row", "bin", "n"])
 
-    return cells.mapInArrow(run, "vec_id long, bin long, n long")
+    return cells.mapInArrow(run, "row long, bin long, n long")
 
 
 def _winners(cells: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for rows, g, key, null, other, score, itself in _cells(batches):
+        for rows, g, key, null, number, other, score, itself in _cells(batches):
             kth, need = g.column("lo").to_numpy()[rows], g.column("need").to_numpy()[rows]
             score_ok = (score >= kth[:, None]) & ~itself
             tie = score_ok & (score == kth[:, None])
@@ -123,9 +126,9 @@ def _winners(cells: DataFrame) -> DataFrame:
             r, c = np.nonzero(score_ok)
             if len(r):
                 ids = pa.array(key[other[c]], mask=null[other[c]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows[r]]), ids, pa.array(score[r, c])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(number[rows[r]]), pa.array(key[rows[r]]), ids, pa.array(score[r, c])], ["row", "query_id", "vec_id", "score"])
 
-    return cells.mapInArrow(run, "query_id long, vec_id long, score long")
+    return cells.mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
 def exact_top_k(vectors: DataFrame, query_rows, k: int = K, scale: int = 64) -> DataFrame:
@@ -133,13 +136,13 @@ def exact_top_k(vectors: DataFrame, query_rows, k: int = K, scale: int = 64) ->
 
     `query_rows` is a condition on vec_id. Score: inner product of floor(scale * component); ties go to
     the smaller vec_id, a null vec_id last. Vectors that are null or hold null or non-finite components
-    take no part; vectors of different lengths have no score. Repeated rows are separate candidates; a
-    repeated query id is one query (its smallest vector), whose own rows are all left out. Sums beyond
-    2^63 wrap.
+    take no part; vectors of different lengths have no score. Rows are what counts, not ids: every row that
+    query_rows picks is a query of its own, and all other rows are its candidates, those with the same vec_id and
+    vector too. Sums beyond 2^63 wrap. An empty table, and one without queries, give an empty result.
     """
     spark = vectors.sparkSession
     vecs = checkpointed(usable(vectors, scale))
-    queries = vecs.where(query_rows & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("x").alias("x"))
+    queries = vecs.where(query_rows & F.col("vec_id").isNotNull())
     norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     size = vecs.agg(F.count(F.lit(1)), F.count_if(query_rows), F.max(norm), F.max(F.when(query_rows, norm))).first()
     if not size[0] or not size[1]:
@@ -147,27 +150,27 @@ def exact_top_k(vectors: DataFrame, query_rows, k: int = K, scale: int = 64) ->
     cores = max(1, spark.sparkContext.defaultParallelism)
     qblocks = -(-size[1] // QUERY_BLOCK)
     cblocks = max(-(-size[0] // CANDIDATE_BLOCK), -(-2 * cores // qblocks))
-    # no score exceeds the product of the norms
-    reach = min(int((size[2] * size[3]) ** 0.5) + 1, 2**62)
+    # no score exceeds the product of the norms; the norms are doubles, so a little is added
+    reach = min(int((size[2] * size[3]) ** 0.5 * (1 + 1e-9)) + 2, 2**62)
     width = max(1, -(-(2 * reach + 1) // BINS))
-    bounds = queries.select("vec_id", F.lit(-reach).cast("long").alias("lo"), F.lit(reach + 1).cast("long").alias("hi"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
+    bounds = queries.select("row", F.lit(-reach).cast("long").alias("lo"), F.lit(reach + 1).cast("long").alias("hi"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
     while True:
-        counts = _histograms(_grid(queries, vecs, bounds, qblocks, cblocks)).groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
-        ranked = counts.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("bin")).alias("b"), "n"))).alias("bins"))
+        counts = _histograms(_grid(queries, vecs, bounds, qblocks, cblocks)).groupBy("row", "bin").agg(F.sum("n").alias("n"))
+        ranked = counts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("bin")).alias("b"), "n"))).alias("bins"))
         # of the upper bins, those before the one in which the count reaches what is needed
         start = F.struct(F.lit(0).cast("long").alias("above"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("last"))
         step = lambda s, e: F.struct(
             F.when(s["bin"].isNull() & (s["above"] + e["n"] < F.col("need")), s["above"] + e["n"]).otherwise(s["above"]).alias("above"),
             F.coalesce(s["bin"], F.when(s["above"] + e["n"] >= F.col("need"), -e["b"])).alias("bin"), (-e["b"]).alias("last"),
         )
-        found = bounds.join(ranked, "vec_id", "left").withColumn("s", F.aggregate(F.coalesce("bins", F.array().cast("array<struct<b:bigint,n:bigint>>")), start, step))
+        found = bounds.join(ranked, "row", "left").withColumn("s", F.aggregate(F.coalesce("bins", F.array().cast("array<struct<b:bigint,n:bigint>>")), start, step))
         # fewer rows than needed: everything counts, from the interval's foot on
         next_width = max(1, -(-width // BINS))
         foot = F.col("lo") + F.coalesce(F.col("s.bin"), F.lit(0)) * F.col("width")
         top = F.when(F.col("s.bin").isNull(), F.col("hi")).otherwise(F.least("hi", foot + F.col("width")))
         bounds = checkpointed(
             found.select(
-                "vec_id", foot.alias("lo"), top.alias("hi"), F.lit(next_width).cast("long").alias("width"),
+                "row", foot.alias("lo"), top.alias("hi"), F.lit(next_width).cast("long").alias("width"),
                 (F.col("need") - F.when(F.col("s.bin").isNull(), 0).otherwise(F.col("s.above"))).alias("need"),
             )
         )
@@ -176,7 +179,7 @@ def exact_top_k(vectors: DataFrame, query_rows, k: int = K, scale: int = 64) ->
         width = next_width
     best = _winners(_grid(queries, vecs, bounds, qblocks, cblocks))
     order = [F.desc("score"), F.asc_nulls_last("vec_id")]
-    ranks = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranks = best.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(*order)))
     return ranks.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

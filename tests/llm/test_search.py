@@ -48,6 +48,13 @@ def test_top_k_of_few_rows(spark):
     assert T.exact_top_k(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_takes_every_row_with_a_query_id(spark):
+    got = T.exact_top_k(vectors(spark, [(20, [1.0]), (20, [2.0]), (21, [3.0])]), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 21, 64 * 192), (20, 1, 21, 128 * 192), (20, 2, 20, 64 * 128), (20, 2, 20, 64 * 128)]
+    got = T.exact_top_k(vectors(spark, [(20, [1.0]), (20, [1.0])]), F.col("vec_id") % 20 == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 20, 4096)] * 2
+
+
 def test_top_k_keeps_a_null_id_last(spark):
     rows = [(0, [1.0]), (None, [1.0]), (5, [1.0])]
     got = T.exact_top_k(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
