@@ -1,19 +1,20 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut where the pre-splitting pattern has a match boundary whatever stands around it: before a
-single space between two ASCII letters or digits. Very long runs of white space, where the pattern
-backtracks, are cut by the pattern's own rule. The ids are those of the uncut text.
+Long texts are cut where the pre-splitting pattern has a match boundary whatever stands around it: before a single space
+between two letters or digits of any script, and between a letter and a mark of another script's sentences that follows
+it. Very long runs of white space, where the pattern backtracks, are cut by the pattern's own rule. Both hold for
+the default pattern only; with another one a text is matched whole. The ids are those of the uncut text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from larkspur.llm.common import byte_values, table
 PIECE = 1 << 16
 #: Runs of white space from this length on are matched here, not by the library's pattern.
 RUN = 1 << 12
-_SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+_SAFE = re.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])|(?<=\p{L})(?=[。，、；：？！…「」『』（）《》।॥،؟۔])")
 #: White space as the library's pattern has it (Unicode White_Space).
 _RUN = re.compile("[\t-\r \x85\xa0  -     　]{%d,}" % RUN)
 
@@ -56,7 +57,7 @@ def safe_pieces(text: str, limit: int = PIECE):
 
 def encode(enc, text: str) -> np.ndarray:
     """The ids of text as little-endian unsigned 32-bit integers, without special tokens."""
-    if len(text) <= RUN:
+    if len(text) <= RUN or enc._pat_str != public_tokenizers.PATTERN:
         return np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32).astype("<u4", copy=False)
     out, start = [], 0
     # `\\s+(?!\\S)` takes a run but for its last character if anything follows, else all of it
@@ -77,13 +78,13 @@ def decode(enc, ids: np.ndarray) -> bytes:
     return b"".join(enc.decode_bytes(ids[at : at + PIECE].tolist()) for at in range(0, len(ids), PIECE))
 
 
-def _mapped(docs: DataFrame, extra: list[tuple[str, str]], work, path: str, pattern: str, keep: list[str]) -> DataFrame:
+def _mapped(docs: DataFrame, extra: list[tuple[str, str]], work, path: str | None, pattern: str, keep: list[str]) -> DataFrame:
     import pyarrow as pa
 
     docs = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches):
-        enc = encoding(path, pattern)
+        enc = encoding(path or rank_file(), pattern)  # a worker has its own copy of the default file
         for b in batches:
             for s in range(0, max(b.num_rows, 1), 1000):
                 part = b.slice(s, 1000)
@@ -99,7 +100,7 @@ def _mapped(docs: DataFrame, extra: list[tuple[str, str]], work, path: str, patt
 
 def tokenize(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array<int>) of every row's whole text; a null text has no ids."""
-    return _mapped(docs, [("ids", "array<int>")], lambda enc, t: (encode(enc, t).astype(np.int32),), path or rank_file(), pattern, ["doc_id"])
+    return _mapped(docs, [("ids", "array<int>")], lambda enc, t: (encode(enc, t).astype(np.int32),), path, pattern, ["doc_id"])
 
 
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -112,7 +113,7 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str = publi
         ids = encode(enc, text)
         return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(enc, ids)).hexdigest()
 
-    return _mapped(docs, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], work, path or rank_file(), pattern, ["doc_id"])
+    return _mapped(docs, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], work, path, pattern, ["doc_id"])
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

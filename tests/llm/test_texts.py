@@ -150,12 +150,25 @@ def test_long_texts_are_cut_at_match_boundaries(encoder, monkeypatch):
         text = "".join(rng.choice(parts) for _ in range(60))
         assert "".join(bpe.safe_pieces(text, 20)) == text
         assert [i for p in bpe.safe_pieces(text, 20) for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
+    for words in (["漢字かな", "。", "です", "、", "一", "！", "x"], ["слово", " и", " ещё", ", ", "да"], ["हिन्दी", " है", "।", " १२"]):
+        for _ in range(50):
+            text = "".join(rng.choice(words) for _ in range(80))
+            pieces = list(bpe.safe_pieces(text, 20))
+            assert "".join(pieces) == text and len(pieces) > 1
+            assert [i for p in pieces for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
     text = "".join(rng.choice(parts) for _ in range(200))
     run = __import__("re").compile(bpe._RUN.pattern.replace("4096", "8"))
     monkeypatch.setattr(bpe, "_RUN", run)
     assert bpe.encode(encoder, text).tolist() == encoder.encode_ordinary(text)
 
 
+def test_another_pattern_is_matched_whole(monkeypatch):
+    other = bpe.encoding(bpe.rank_file(), r"\s+|\S+")
+    monkeypatch.setattr(bpe, "RUN", 8)
+    text = "some words" + " " * 40 + "and more\n" * 10
+    assert bpe.encode(other, text).tolist() == other.encode_ordinary(text)
+
+
 def test_token_digests_of_odd_rows(spark, odd, empty, encoder):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     rows = bpe.token_digests(odd).collect()
