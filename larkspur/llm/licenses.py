@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that states a copyright: after any marks, the word with a sign, a year, a placeholder or "by".
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9a-z<\[{]|©)[^\n]*$"
+#: A line that states a copyright: after any marks, the word with a sign, a year, a placeholder or "by", or a sign with a
+#: year or a placeholder; "(c)" before other words is a clause's letter.
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*([0-9]{4}|[<\[{]|copyright)|©)[^\n]*$"
 #: Paragraphs of copyright lines without a sign or a year, as in "Copyright Joyent, Inc. and other contributors."
-UNSIGNED = r"(\A|\n[ \t\r]*\n)([^a-z0-9\n]*copyright[ \t][^\n]*(\n|\z)){1,99}(?=[ \t\r]*(\n|\z))"
+UNSIGNED = r"(\A|\n[ \t\r]*\n)(([^a-z0-9\n]*copyright[ \t][^\n]*(\n|\z)){1,20}([ \t\r]*(\n|\z))+){1,9}"
 #: Quotes, dashes and blanks beyond ASCII and what they stand for; the last ones, without a width, go.
 DRESS = "\u201c\u201d\u201e\u201f\u00ab\u00bb\u2018\u2019\u201a\u201b\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0\u2002\u2003\u2007\u2009\u200a\u202f\u3000\u200b\ufeff\u00ad"
 UNDRESSED = '"' * 6 + "'" * 4 + "-" * 7 + " " * 8
@@ -68,7 +69,7 @@ _BSD_END = (
     "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
     "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: Short licences and notices by name, which the SQL also has.
+#: Short licences and notices by name.
 SHORT = {
     "MIT": [f"MIT License\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_END}", f"{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_END}"],
     "MIT-0": [f"MIT No Attribution\n\n{_MIT_GRANT}.\n\n{_MIT_END}", f"{_MIT_GRANT}.\n\n{_MIT_END}"],
@@ -137,14 +138,15 @@ def _sql_string(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', ' ', 'g')"
+    out = f"regexp_replace(translate({text}, {_sql_string(UPPER + DRESS)}, {_sql_string(LOWER + UNDRESSED)}), '{COPYRIGHT}', ' ', 'g')"
+    out = f"regexp_replace({out}, '{UNSIGNED}', chr(10) || chr(10), 'g')"
     out = f"regexp_replace(' ' || regexp_replace({out}, '{MARKS}', ' ', 'g') || ' ', '  +', ' ', 'g')"
     for found, put in SPELLINGS:
         out = f"replace({out}, '{found}', '{put}')"
     return f"trim({out})"
 
 
-_VALUES = ", ".join(f"({_sql_string(name)}, {_sql_string(text)})" for name, texts in SHORT.items() for text in texts)
+_VALUES = ", ".join(f"({_sql_string(name)}, {_sql_string(text)})" for name, texts in KNOWN.items() for text in texts)
 QUERIES = {"op3_license_scan": op3_license_scan}
 ORACLE = {
     "op3_license_scan": f"""

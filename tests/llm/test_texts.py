@@ -195,6 +195,33 @@ def test_license_texts_in_any_dress(spark, docs):
     assert names == set(licenses.KNOWN)
 
 
+def test_clauses_marked_c_are_no_copyright_lines(spark, docs):
+    base = "You may copy it if\n(a) you ask\n(b) you pay\n(c) {}\n(d) you leave."
+    texts = [base.format("you sing"), base.format("you dance"), "(c) 2020 Someone\nbody text", "(c) <year> <name>\nbody text", "body text", "© me\nbody text", "Copyright Joyent, Inc.\n\nCopyright Others\n\nbody text"]
+    got = {r.doc_id: r.digest for r in licenses.scan(docs([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got[0] != got[1] and len({got[i] for i in range(2, 7)}) == 1
+
+
+def test_license_rows_agree_with_the_sql(spark, docs):
+    """Every known text in several dresses, repeated rows and a very long text: the same rows by SQL."""
+    import duckdb
+
+    rows = []
+    for texts in licenses.KNOWN.values():
+        for t in texts:
+            curly = t.replace('"', "\u201c").replace("'", "\u2019").replace(" ", "\u00a0")
+            rows += [(len(rows), t, "en", "s"), (len(rows) + 1, "Copyright (c) 2020 X\n\nCopyright Joyent, Inc. and others\n\n" + curly, "en", "s"), (len(rows) + 1, t.upper() + "\nmore", "en", "s")]
+    rows += [(9999, licenses.KNOWN["GPL-3.0"][0] * 30, "en", "s"), (9998, None, "en", "s"), (9997, "", "en", "s")]
+    df = docs(rows)
+    got = sorted(((r.doc_id, r.digest or "", r.license or "") for r in licenses.scan(df).collect()))
+    assert sum(1 for r in got if r[2]) >= 2 * sum(map(len, licenses.KNOWN.values()))
+    documents = df.select("doc_id", "text").toArrow()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    sql = con.execute(licenses.ORACLE["op3_license_scan"]).fetchall()
+    assert sorted((i, d or "", k or "") for i, d, k in sql) == got
+
+
 def noise(rng, n=60):
     return " ".join("".join(rng.choice(["an", "th", "er", "on", "re", "he", "in", "ed"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
