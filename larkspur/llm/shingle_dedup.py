@@ -1,10 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: candidates by MinHash bands, each verified exactly.
+"""SimHash near-duplicates carried to a Jaccard bound: groups of texts whose five-word shingles have similarity 0.8 or more.
 
 A text's set is the XXH64 of every run of five words (a shorter text is one shingle). Texts with equal sets are one
-node. A node has 200 MinHash values in 40 bands of five; two nodes at similarity 0.8 share no band with probability
-(1 - 0.8^5)^40 = 1.3e-7. Within a band's bucket all pairs of different groups are weighed by their signatures, and
-those that may reach the bound are verified by their whole sets. Rounds with only the most similar partners
-come first, since pairs that are in one group already need no verification; the last round leaves no pair out.
+node. Candidates come from the vantage-point trees over the nodes' SimHash fingerprints first: each node's nearest ones within
+the trees' radius. Two sets at similarity 0.8 differ in some 10 of 64 bits, more than any exact search of the trees can reach, so
+what the fingerprints leave apart is proposed by MinHash: 200 values in 40 bands of five, of which two nodes at similarity 0.8
+share none with probability (1 - 0.8^5)^40 = 1.3e-7. Within a band's bucket all pairs of different groups are weighed by
+their signatures, and those that may reach the bound count as candidates; a round with only the most similar partners comes
+before the one that leaves no pair out, since pairs that are in one group already need no verification. Every candidate
+of either kind is verified by its whole sets.
 """
 
 from __future__ import annotations
@@ -15,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import byte_values, checkpointed, components, grouped_batches, segments, slices, split_hot_cells
-from larkspur.llm.simhash import SEED, shingle_hashes
+from larkspur.llm.simhash import BITS, RADIUS, SEED, nearest_pairs, search_tasks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 40, 5
 #: Signature values of 200 that must agree for a pair to be verified: five deviations below what 0.8 shows.
 LEAST_AGREEING = 130
-#: Partners of a node in a bucket for each round; None is all.
-ROUNDS = (3, 3, None)
+#: Nearest fingerprints of a node in a shard; then partners of a node in a bucket for each round, None is all.
+NEAREST, ROUNDS = 3, (3, None)
 #: A bucket with more rows is cut into blocks.
 BUCKET_ROWS = 2048
 
@@ -55,21 +58,30 @@ def least_values(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes; 0 for an empty one."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 1 << 15):
+        ones += np.unpackbits(shingles[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, node, size, signature, buckets) of every row; a null text is an empty one."""
+    """(doc_id, key, node, size, fp, signature, buckets) of every row; a null text is an empty one."""
     import pyarrow as pa
 
     def run(batches):
         for b in slices(batches):
-            node, size, signature, buckets = [], [], [], []
+            node, size, fp, signature, buckets = [], [], [], [], []
             for t in byte_values(b.column(2)):
                 s = shingle_set(t or b"")
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 size.append(len(s))
+                fp.append(fingerprint(s))
                 if len(s):
                     m = least_values(s)
                     signature.append((m >> np.uint64(40)).astype(np.uint8).tobytes())
@@ -77,11 +89,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 else:
                     signature.append(b"")
                     buckets.append(np.empty(0, np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "size", "signature", "buckets"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "size", "fp", "signature", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, node long, size long, signature binary, buckets array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, node long, size long, fp long, signature binary, buckets array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -141,26 +153,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key is text_key() of the row; rows without a doc_id are rows like any other. Texts without a word are one group.
     """
     rows = checkpointed(signatures(docs))
-    nodes = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"), F.min("key").alias("key"))
+    nodes = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"), F.min("key").alias("key"))
     dealt = nodes.select("node", F.explode("buckets").alias("cell"))
     shared = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     met = checkpointed(dealt.join(shared, "cell"))
     known = checkpointed(nodes.drop("buckets").join(met.select("node").distinct(), "node", "left_semi"))
     texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(known.select("key", "node"), "key")
     sets = checkpointed(shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text"))))
-    links = roots = None
+    near = nearest_pairs(search_tasks(known.select("fp", "node")), RADIUS, NEAREST)
+    links = checkpointed(verified(near.toDF("a", "b"), sets))
+    roots = checkpointed(components(links))
     for best in ROUNDS:
-        labelled = known.select("node", "size", "signature", F.col("node").alias("of"))
-        if roots is not None:
-            labelled = known.join(roots, "node", "left").select("node", "size", "signature", F.coalesce("root", "node").alias("of"))
+        labelled = known.join(roots, "node", "left").select("node", "size", "signature", F.coalesce("root", "node").alias("of"))
         rows_of = met.join(labelled, "node")
         apart = rows_of.groupBy("cell").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("cell")
         here = rows_of.join(apart, "cell").withColumns({"home": F.lit(True), "salt": F.xxhash64("node")})
         found = checkpointed(verified(candidates(split_hot_cells(here, BUCKET_ROWS), best), sets))
         if found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         roots = checkpointed(components(links))
-    if roots is None:
-        return rows.select("doc_id", "key", F.col("node").alias("group"))
     return rows.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("group"))
