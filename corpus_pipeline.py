@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, langid, mixing, quality, shingle_dedup
-from larkspur.llm.common import checkpointed, table
+from larkspur.llm.common import table
 from larkspur.operators.lineage import shared_folder
 
-#: A document goes if no learned language reaches this posterior, or if its quality score is lower than this.
-LEAST_POSTERIOR, LEAST_QUALITY = 0.5, 0.5
+#: A document goes if no learned language reaches this posterior, if the best one needs as many bits a byte as uniform
+#: bytes do, which no learned language explains, or if its quality score is lower than this.
+LEAST_POSTERIOR, MOST_BITS, LEAST_QUALITY = 0.5, 8.0, quality.THRESHOLD
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that one learned language explains; texts without a letter go."""
-    scored = langid.identify(docs, langid.fit(docs), names=("__lang", "__posterior"))
-    return scored.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__posterior") >= LEAST_POSTERIOR)).select(*docs.columns)
+    scored = langid.identify(docs, langid.fit(docs), names=("__lang", "__posterior", "__bits"))
+    explained = (F.col("__posterior") >= LEAST_POSTERIOR) & (F.col("__bits") < MOST_BITS)
+    return scored.where((F.col("__lang") != langid.UNKNOWN) & explained).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +34,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of texts with five-word Jaccard 0.8 or more.
+    """Keep one document of each group of texts with five-word Jaccard 0.8 or more.
 
-    Repeated rows of that doc_id are one document. Rows without a doc_id go with their group; where no
-    row of a group has one, one of them stays.
+    It is the one with the smallest doc_id, rows without one last, then by a hash of the text, then by all
+    columns: unlike texts under one doc_id are different documents, and reruns keep the same rows.
     """
-    groups = checkpointed(shingle_dedup.near_duplicates(docs))
-    least = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("__key"))
-    kept = docs.where("doc_id is not null").join(least.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept.select(*docs.columns)
-    alone = least.where("doc_id is null").select("__key")
-    stay = nameless.withColumn("__key", shingle_dedup.text_key()).join(alone, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.select(*docs.columns).unionByName(stay.select(*docs.columns))
+    groups = shingle_dedup.near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")
+    least = groups.groupBy("group").agg(first).select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__key")).distinct()
+    rows = docs.select(shingle_dedup.text_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(least, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")))
+    return kept.groupBy("key", "id").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
