@@ -224,14 +224,14 @@ def hilbert_index(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 #: Fixed values of the scattering permutation.
 ROUNDS = 4
-MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
 LAYER_KEY, ROUND_KEY = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
-    for shift, factor in MIX:
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return z
+    """The finaliser of splitmix64, a public generator."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def scatter(index: np.ndarray, size: np.ndarray, layer: np.ndarray, forward: bool = True) -> np.ndarray:
@@ -299,15 +299,15 @@ def _floor_root(n: np.ndarray) -> np.ndarray:
 
 
 def scatter_square_points(u: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """spiral_square with every shell's points in scattered order; the cut edge in order of its bits, scattered."""
+    """Square shells whose points, clockwise from (-m, m), stand in scattered order; the cut edge in order of its bits, scattered."""
     u, side, low = u.astype(np.int64), 1 << bits, -(1 << (bits - 1))
     cut = u >= (side - 1) ** 2
     m = np.where(cut, 0, (_floor_root(u) + 1) // 2)
     base, size, layer = _square_shells(m, bits, cut)
     j = scatter(u - base, size, layer).astype(np.int64)
     step, edge = j % np.maximum(2 * m, 1), j // np.maximum(2 * m, 1)
-    x = np.select([m == 0, edge == 0, edge == 1, edge == 2], [0 * m, m, m - 1 - step, -m], 1 - m + step)
-    y = np.select([m == 0, edge == 0, edge == 1, edge == 2], [0 * m, 1 - m + step, m, m - 1 - step], -m)
+    x = np.select([m == 0, edge == 0, edge == 1, edge == 2], [0 * m, step - m, m, m - step], -m)
+    y = np.select([m == 0, edge == 0, edge == 1, edge == 2], [0 * m, m, m - step, -m], step - m)
     raw = np.where(j < side, j, j - side + (j - side >= side >> 1))
     value = np.where(raw >= side >> 1, raw - side, raw)
     return np.where(cut, np.where(j < side, low, value), x), np.where(cut, np.where(j < side, value, low), y)
@@ -317,7 +317,7 @@ def scatter_square_index(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
     side, low = 1 << bits, -(1 << (bits - 1))
     m, cut = np.maximum(np.abs(x), np.abs(y)), (x == low) | (y == low)
     base, size, layer = _square_shells(m, bits, cut)
-    j = np.select([m == 0, (x == m) & (y > -m), (y == m) & (x < m), (x == -m) & (y < m)], [0 * m, y + m - 1, 3 * m - 1 - x, 5 * m - 1 - y], 7 * m - 1 + x)
+    j = np.select([m == 0, (y == m) & (x < m), (x == m) & (y > -m), (y == -m) & (x > -m)], [0 * m, x + m, 3 * m - y, 5 * m - x], 7 * m + y)
     rx, ry = x % side, y % side
     j = np.where(cut, np.where(x == low, ry, side + rx - (rx > side >> 1)), j)
     return base + scatter(j, size, layer, False).astype(np.int64)

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only on a local master where none is set, as in tests."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspur-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -20,7 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a written table: what follows survives lost executors and plans with the table's true size.
 
     A checkpoint would keep the plan's estimated size, which an iteration of joins multiplies round by round.
+    The table goes when the driver's JVM ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -68,3 +68,15 @@ def test_spirals_grow_by_shells(spark):
 def test_hilbert_neighbours_are_adjacent(spark):
     curve = pairs(spark, lambda c: B.hilbert(c, 8))
     assert all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(curve, curve[1:], strict=False))
+
+
+def test_scattered_shells_keep_the_perimeter_s_order():
+    """Undoing the permutation of a shell leaves its perimeter, clockwise from (-m, m)."""
+    import numpy as np
+
+    m = 3
+    u = np.arange((2 * m - 1) ** 2, (2 * m + 1) ** 2)
+    x, y = B.scatter_square_points(u, 8)
+    j = B.scatter(u - u[0], np.full(8 * m, 8 * m), np.full(8 * m, m)).astype(int)
+    walk = [(k - m, m) for k in range(2 * m)] + [(m, m - k) for k in range(2 * m)] + [(m - k, -m) for k in range(2 * m)] + [(-m, k - m) for k in range(2 * m)]
+    assert [walk[k] for k in j] == list(zip(x.tolist(), y.tolist(), strict=True))
