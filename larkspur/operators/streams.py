@@ -31,7 +31,7 @@ def text_items(df: DataFrame, stream: str, seq: str, text: str) -> DataFrame:
 
 def flushed(items: DataFrame) -> DataFrame:
     """items with run: rows of one run are contiguous and of one kind; values and errors have their own."""
-    plain = F.col("err").isNull() & F.col("kind").isin("text", "bytes")
+    plain = _plain()
     label = F.when(plain, F.col("kind"))
     breaks = F.when(label.isNull() | ~label.eqNullSafe(F.lag(label).over(_order())), 1).otherwise(0)
     return items.withColumn("run", F.sum(breaks).over(_order().rowsBetween(Window.unboundedPreceding, 0)))
@@ -43,40 +43,61 @@ def _renumbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(place).cast("long") - 1).select("stream_id", "seq", "kind", "text", "bytes", "err")
 
 
-def _stitched(items: DataFrame, pieces: Column) -> DataFrame:
+def _stitched(items: DataFrame, pieces, around: int = 0) -> DataFrame:
     """Put pieces together: all but the last piece of an item end a segment, the last stays open.
 
-    `pieces` has a string array for every text item, of at least one piece, the last maybe empty.
+    `pieces` makes a string array of at least one piece, the last maybe empty, of an item's text. Bytes go the same way
+    as texts of one character a byte. With `around`, pieces gets the item with so many characters that come before
+    it in its run, and how many there were.
     """
     rows = flushed(items)
-    text = F.col("err").isNull() & (F.col("kind") == "text")
-    cut = rows.where(text).withColumn("__p", pieces).withColumn("__ends", F.size("__p") - 1)
-    run = Window.partitionBy("stream_id", "run").orderBy("seq")
+    chars = F.when(F.col("kind") == "text", F.col("text")).otherwise(F.decode("bytes", "ISO-8859-1"))
+    run = Window.partitionBy("stream_id", "run", "kind").orderBy("seq")
+    cut = rows.where(_plain()).withColumn("__t", chars).where("__t <> ''")
+    if around:
+        lead = F.array_join(F.collect_list(F.right("__t", F.lit(around))).over(run.rowsBetween(-around, -1)), "")
+        cut = cut.withColumn("__lead", F.right(lead, F.lit(around)))
+        found = pieces(F.concat("__lead", "__t"))
+        first = F.substring(F.get(found, F.lit(0)), F.length("__lead") + 1, F.length(F.get(found, F.lit(0))))
+        cut = cut.withColumn("__p", F.concat(F.array(first), F.slice(found, F.lit(2), F.size(found))))
+    else:
+        cut = cut.withColumn("__p", pieces(F.col("__t")))
+    cut = cut.withColumn("__ends", F.size("__p") - 1)
     cut = cut.withColumn("__before", F.coalesce(F.sum("__ends").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    each = cut.select("stream_id", "run", "seq", F.col("__before"), F.posexplode("__p").alias("__k", "__piece"))
-    joined = each.groupBy("stream_id", "run", (F.col("__before") + F.col("__k")).alias("segment")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("seq", "__piece")))["__piece"], "").alias("text")
-    )
-    return joined.where(F.col("text") != "").select(
-        "stream_id", "run", "segment", F.lit("text").alias("kind"), "text", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("err")
+    each = cut.select("stream_id", "run", "kind", "seq", F.col("__before"), F.posexplode("__p").alias("__k", "__piece"))
+    joined = each.groupBy("stream_id", "run", "kind", (F.col("__before") + F.col("__k")).alias("segment")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("seq", "__piece")))["__piece"], "").alias("t")
     )
+    return _as_items(joined.where(F.col("t") != ""))
+
+
+def _as_items(found: DataFrame) -> DataFrame:
+    """Segments t of texts, or of bytes as one character each, as items."""
+    is_text = F.col("kind") == "text"
+    return found.select(
+        "stream_id", "run", "segment", "kind", F.when(is_text, F.col("t")).alias("text"),
+        F.when(~is_text, F.encode(F.when(~is_text, F.col("t")), "ISO-8859-1")).alias("bytes"), F.lit(None).cast("string").alias("err"),
+    )
+
+
+def _plain() -> Column:
+    return F.col("err").isNull() & F.col("kind").isin("text", "bytes")
 
 
 def _others(items: DataFrame) -> DataFrame:
-    text = F.col("err").isNull() & (F.col("kind") == "text")
-    return flushed(items).where(~text).select("stream_id", "run", F.col("seq").alias("segment"), "kind", "text", "bytes", "err")
+    return flushed(items).where(~_plain()).select("stream_id", "run", F.col("seq").alias("segment"), "kind", "text", "bytes", "err")
 
 
 def lines(items: DataFrame) -> DataFrame:
-    """Text cut after every line break; the break stays. Other items pass."""
-    pieces = F.split("text", "(?<=\n)")
-    return _renumbered(_stitched(items, pieces).unionByName(_others(items)), "run", "segment")
+    """Texts and bytes cut after every line break; the break stays. Values and errors pass."""
+    return split_after(items, "\n")
 
 
 def words(items: DataFrame) -> DataFrame:
-    """Runs of characters that are no white space, across items. Other items pass."""
-    marked = F.regexp_replace("text", f"{SPACE}+", "\n")
-    found = _stitched(items, F.split(marked, "(?<=\n)")).withColumn("text", F.rtrim(F.translate("text", "\n", " "))).where("text <> ''")
+    """Runs of characters, or bytes, that are no ASCII white space, across items. Values and errors pass."""
+    found = _stitched(items, lambda t: F.split(F.regexp_replace(t, f"{SPACE}+", "\n"), "(?<=\n)"))
+    bare = F.rtrim(F.translate(F.coalesce("text", F.decode("bytes", "ISO-8859-1")), "\n", " "))
+    found = _as_items(found.select("stream_id", "run", "segment", "kind", bare.alias("t")).where("t <> ''"))
     return _renumbered(found.unionByName(_others(items)), "run", "segment")
 
 
@@ -84,7 +105,7 @@ def chunks(items: DataFrame, size: int) -> DataFrame:
     """Text in chunks of so many characters and bytes in chunks of so many bytes; 0 means 65536."""
     size = size or 65536
     rows = flushed(items)
-    plain = F.col("err").isNull() & F.col("kind").isin("text", "bytes")
+    plain = _plain()
     run = Window.partitionBy("stream_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     length = F.when(F.col("kind") == "text", F.char_length("text")).otherwise(F.octet_length("bytes")).cast("long")
     cut = rows.where(plain).withColumn("__n", length).withColumn("__at", F.coalesce(F.sum("__n").over(run), F.lit(0))).where("__n > 0")
@@ -103,25 +124,29 @@ def chunks(items: DataFrame, size: int) -> DataFrame:
 
 
 def split_after(items: DataFrame, pattern: str) -> DataFrame:
-    """Text cut after every occurrence of a literal pattern, also of one that lies across items.
+    """Texts and bytes cut after every occurrence of a literal pattern, also of one that lies across items.
 
-    A pattern that overlaps itself is found from left to right. One character goes the way of lines();
-    a longer pattern is scanned in an Arrow UDF that holds a stream's run.
+    Occurrences of a pattern whose beginning is not its end cannot overlap: each item is cut where it lies, with as many
+    characters before it as the pattern could begin in. A pattern that can overlap itself is found from left to
+    right, which an Arrow UDF does over a stream's run as one string.
     """
-    if len(pattern) == 1:
-        import re
+    import re
 
-        return _renumbered(_stitched(items, F.split("text", f"(?<={re.escape(pattern)})")).unionByName(_others(items)), "run", "segment")
+    if not any(pattern.startswith(pattern[-k:]) for k in range(1, len(pattern))):
+        wide = pattern.encode().decode("latin-1")  # in bytes the pattern is its UTF-8 form
+        after = lambda t, p: F.split(t, f"(?<={re.escape(p)})")
+        found = _stitched(items, lambda t: F.when(F.col("kind") == "text", after(t, pattern)).otherwise(after(t, wide)), len(wide) - 1)
+        return _renumbered(found.unionByName(_others(items)), "run", "segment")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [p for p in t.replace(pattern, pattern + "\0\0").split("\0\0") if p] if "\0" not in t else _scan(t, pattern))
-
-    runs = flushed(items).where(F.col("err").isNull() & (F.col("kind") == "text")).groupBy("stream_id", "run")
-    whole = runs.agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "text")))["text"], "").alias("text"))
-    cut = whole.select("stream_id", "run", F.posexplode(scan("text")).alias("segment", "text")).select(
-        "stream_id", "run", F.col("segment").cast("long").alias("segment"), F.lit("text").alias("kind"), "text", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("err")
-    )
+    def scan(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        forms = {"text": pattern, "bytes": pattern.encode().decode("latin-1")}
+        return pd.Series([_scan(t, forms[k]) for t, k in zip(texts, kinds, strict=True)])
+
+    chars = F.when(F.col("kind") == "text", F.col("text")).otherwise(F.decode("bytes", "ISO-8859-1"))
+    runs = flushed(items).where(_plain()).withColumn("__t", chars).groupBy("stream_id", "run", "kind")
+    whole = runs.agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "__t")))["__t"], "").alias("t"))
+    cut = _as_items(whole.select("stream_id", "run", "kind", F.posexplode(scan("t", "kind")).alias("segment", "t")).withColumn("segment", F.col("segment").cast("long")))
     return _renumbered(cut.unionByName(_others(items)), "run", "segment")
 
 
@@ -181,9 +206,17 @@ def last(items: DataFrame, n: int = 1) -> DataFrame:
 
 
 def joined(items: DataFrame, between: str = "", after: str = "") -> DataFrame:
-    """(stream_id, text): all texts of a stream in order, with a string between them or after each."""
-    listed = items.where("err is null").groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.concat("text", F.lit(after)).alias("t")))).alias("p"))
-    return listed.select("stream_id", F.array_join("p.t", between).alias("text"))
+    """(stream_id, text, bytes): all texts and bytes of a stream in order, with a string between them or after each.
+
+    A stream with an item of bytes is joined as bytes, texts in UTF-8, and has no text; another has no bytes.
+    """
+    part = F.hex(F.coalesce("bytes", F.encode("text", "UTF-8")))
+    listed = items.where("err is null and kind <> 'value'").groupBy("stream_id").agg(
+        F.max(F.col("kind") == "bytes").alias("raw"), F.sort_array(F.collect_list(F.struct("seq", F.concat("text", F.lit(after)).alias("t"), F.concat(part, F.lit(after.encode().hex())).alias("h")))).alias("p")
+    )
+    return listed.select(
+        "stream_id", F.when(~F.col("raw"), F.array_join("p.t", between)).alias("text"), F.when(F.col("raw"), F.unhex(F.array_join("p.h", between.encode().hex()))).alias("bytes")
+    )
 
 
 # --- command lines ------------------------------------------------------------------------------------------
@@ -203,21 +236,36 @@ def commands(arguments: list[str]) -> list[str]:
 
 
 def pipeline(items: DataFrame, arguments: list[str]) -> DataFrame:
-    """Run text commands over items: split-lines, split-N, find-X, first[-N], last[-N], join, join-lines, join-space, encode-mixed85, to-hex.
+    """Run text commands over items: split-lines, split-whitespace, split-N, filter,
+    find-X, collapse, first[-N], last[-N], join, join-lines, join-space, encode-mixed85, to-hex, parse-hex, to-binary, parse-binary.
 
     Unknown commands raise ValueError; arguments with `=` are ignored.
     """
     from larkspur.functions import codecs
+    from larkspur.functions import text as text_functions
     from larkspur.functions.text import byte_size
 
     none = F.lit(None)
-    again = lambda df: df.select("stream_id", F.lit(0).cast("long").alias("seq"), F.lit("text").alias("kind"), "text", none.cast("binary").alias("bytes"), none.cast("string").alias("err"))
+    again = lambda df: df.select("stream_id", F.lit(0).cast("long").alias("seq"), F.when(F.col("bytes").isNull(), "text").otherwise("bytes").alias("kind"), "text", "bytes", none.cast("string").alias("err"))
+    data = F.coalesce("bytes", F.encode("text", "UTF-8"))
     for c in commands(arguments):
         name, _, value = c.partition("-")
         if "=" in c:
             continue
         if c == "split-lines":
             items = lines(items)
+        elif c == "split-whitespace":
+            items = words(items)
+        elif c == "filter":
+            items = without_empty(items)
+        elif c == "collapse":
+            items = items.withColumn("text", text_functions.collapse(F.col("text")))
+        elif c == "to-binary":
+            items = items.withColumn("text", codecs.to_binary_digits(data)).withColumn("bytes", none.cast("binary")).withColumn("kind", F.lit("text"))
+        elif c in ("parse-hex", "parse-binary"):
+            parse = codecs.parse_hex if c == "parse-hex" else codecs.parse_binary_digits
+            read = items.withColumn("__r", parse(F.coalesce("text", F.decode("bytes", "ISO-8859-1"))))
+            items = read.withColumns({"bytes": F.col("__r.value"), "err": F.coalesce("err", "__r.error"), "text": none.cast("string"), "kind": F.lit("bytes")}).drop("__r")
         elif name == "split" and value[:1].isdigit():
             items = chunks(items, byte_size(value))
         elif name == "find":
@@ -227,9 +275,9 @@ def pipeline(items: DataFrame, arguments: list[str]) -> DataFrame:
         elif c in ("join", "join-lines", "join-space"):
             items = again(joined(items, " " if c == "join-space" else "", "\n" if c == "join-lines" else ""))
         elif c == "encode-mixed85":
-            items = items.withColumn("text", codecs.mixed85(F.coalesce("bytes", F.encode("text", "UTF-8")))).withColumn("bytes", none.cast("binary"))
+            items = items.withColumn("text", codecs.mixed85(data)).withColumn("bytes", none.cast("binary")).withColumn("kind", F.lit("text"))
         elif c == "to-hex":
-            items = items.withColumn("text", codecs.to_hex(F.coalesce("bytes", F.encode("text", "UTF-8")))).withColumn("bytes", none.cast("binary"))
+            items = items.withColumn("text", codecs.to_hex(data)).withColumn("bytes", none.cast("binary")).withColumn("kind", F.lit("text"))
         else:
             raise ValueError(f"unknown command: {c}")
     return items

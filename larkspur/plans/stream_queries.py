@@ -63,17 +63,17 @@ def stream_split_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WHOLE} SELECT stream_id, t AS text FROM c")
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.joined(items(spark, sf_dir))
+    return streams.joined(items(spark, sf_dir)).select("stream_id", "text")
 
 
 @query("SELECT conv_id AS stream_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def stream_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.joined(items(spark, sf_dir), after="\n")
+    return streams.joined(items(spark, sf_dir), after="\n").select("stream_id", "text")
 
 
 @query("SELECT conv_id AS stream_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def stream_join_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.joined(items(spark, sf_dir), between=" ")
+    return streams.joined(items(spark, sf_dir), between=" ").select("stream_id", "text")
 
 
 _NTH = "row_number() OVER (PARTITION BY conv_id ORDER BY turn {d})"
@@ -122,3 +122,54 @@ def stream_errs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT conv_id AS stream_id, turn AS seq FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn <= c.turn AND e.conv_id % 2 = 1 AND e.turn % 4 = 3)")
 def stream_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.fail_fast(_with_errors(spark, sf_dir)).select("stream_id", "seq")
+
+
+# --- streams of bytes ---------------------------------------------------------------------------------------
+
+
+def bytes_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as bytes, cut again in the middle of each, so that characters and segments lie across items."""
+    data, half = F.encode("text", "UTF-8"), F.floor(F.octet_length("text") / 2).cast("int")
+    parts = F.array(F.substring(data, 1, half), F.substring(data, half + 1, F.octet_length("text")))
+    each = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("k", "part"))
+    none = F.lit(None).cast("string")
+    return each.select(F.col("conv_id").cast("long").alias("stream_id"), (F.col("turn") * 2 + F.col("k")).cast("long").alias("seq"), F.lit("bytes").alias("kind"), none.alias("text"), F.col("part").alias("bytes"), none.alias("err"))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("stream_id", "seq", "kind", F.lower(F.hex("bytes")).alias("hex"))
+
+
+def _hex_rows(sql: str) -> str:
+    return f"SELECT stream_id, seq, 'bytes' AS kind, lower(hex(encode(text))) AS hex FROM ({sql})"
+
+
+@query(_hex_rows(ORACLE["stream_lines"]))
+def stream_byte_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(streams.lines(bytes_items(spark, sf_dir)))
+
+
+@query(_hex_rows(ORACLE["stream_words"]))
+def stream_byte_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(streams.words(bytes_items(spark, sf_dir)))
+
+
+@query(_hex_rows(ORACLE["stream_split_after"]))
+def stream_byte_split_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(streams.split_after(bytes_items(spark, sf_dir), "en"))
+
+
+@query("SELECT conv_id AS stream_id, lower(hex(encode(string_agg(text || chr(10), '' ORDER BY turn)))) AS hex FROM conversations GROUP BY 1")
+def stream_byte_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as bytes, a line break after each."""
+    none = F.lit(None).cast("string")
+    whole = items(spark, sf_dir).select("stream_id", "seq", F.lit("bytes").alias("kind"), none.alias("text"), F.encode("text", "UTF-8").alias("bytes"), "err")
+    return streams.joined(whole, after="\n").select("stream_id", F.lower(F.hex("bytes")).alias("hex"))
+
+
+@query(f"{_WHOLE} SELECT stream_id, md5(bin(trim(regexp_replace(t, '[ \t\n\f\r]+', ' ', 'g')))) AS digits FROM c")
+def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command line over every conversation: its bytes as hex and back, joined, collapsed, as binary digits."""
+    made = streams.pipeline(items(spark, sf_dir), ["to-hex | parse-hex | to-binary | parse-binary", "join"])
+    text = made.withColumn("text", F.decode("bytes", "UTF-8")).withColumn("bytes", F.lit(None).cast("binary")).withColumn("kind", F.lit("text"))
+    return streams.pipeline(text, ["collapse", "to-binary"]).select("stream_id", F.md5("text").alias("digits"))

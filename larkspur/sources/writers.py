@@ -11,19 +11,32 @@ from larkspur.functions import codecs, text
 
 
 def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put a finished folder in another's place; readers see the old or the new one, never a part."""
+    """Put a finished folder in another's place.
+
+    A folder cannot be renamed over another, so between two renames there is neither; a swap that ended there
+    leaves the old folder as `<path>.old`, which current() reads and the next swap keeps until it is done.
+    """
     jvm = spark.sparkContext._jvm
     new_path, old_path = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
     fs = old_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
-    fs.delete(gone, True)
     if fs.exists(old_path):
+        fs.delete(gone, True)
         fs.rename(old_path, gone)
     if not fs.rename(new_path, old_path):
         raise OSError(f"cannot move {new} to {path}")
     fs.delete(gone, True)
 
 
+def current(spark: SparkSession, path: str) -> str:
+    """The folder to read a swapped table from: itself, or the old one where a swap was cut short."""
+    jvm = spark.sparkContext._jvm
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    old = path.rstrip("/") + ".old"
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return old if not fs.exists(here) and fs.exists(jvm.org.apache.hadoop.fs.Path(old)) else path
+
+
 def json_lines(df: DataFrame, path: str, key: str = "id", compression: str = "gzip") -> None:
     """JSON lines in order of a key, over as many files as the data need; their names keep the order."""
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("compression", compression).json(path.rstrip("/") + ".new")
@@ -48,9 +61,40 @@ def backup(spark: SparkSession, path: str, stamp: str) -> str:
 
 
 def ordered_text(items: DataFrame, path: str) -> None:
-    """Each stream's text in one row, its items in order, without line ends of its own."""
-    whole = items.where("err is null").groupBy("stream_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.col("bytes").cast("string")).alias("t"))))["t"], "").alias("value"))
-    whole.select("value").write.mode("overwrite").option("lineSep", "\0").text(path)
+    """Each stream's items in order, byte for byte, in a file `<path>/<stream_id>` of its own.
+
+    Streams are written in parallel, one by a task, an item at a time; a task that runs again writes its files
+    anew. `path` is a folder that all executors reach as a file system.
+    """
+    import os
+
+    data = F.coalesce("bytes", F.encode("text", "UTF-8"))
+    rows = items.where("err is null and kind <> 'value'").select("stream_id", "seq", data.alias("data"))
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        at, out, part = None, None, None
+
+        def close():
+            if out:
+                out.close()
+                os.replace(part, os.path.join(path, str(at)))
+
+        for b in batches:
+            for stream, piece in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if stream != at or out is None:
+                    close()
+                    at, part = stream, os.path.join(path, f".{stream}-{uuid.uuid4().hex}")
+                    out = open(part, "wb")
+                out.write(piece or b"")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["stream_id"])
+
+    os.makedirs(path, exist_ok=True)
+    rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, "stream_id long").write.format("noop").mode("overwrite").save()
 
 
 def to_driver(items: DataFrame) -> Iterator[bytes]:

@@ -223,3 +223,39 @@ def test_graph_depths_cycles_and_blobs(spark):
     wanted = spark.createDataFrame([("d", "k", "src/x/f")], "node string, blob string, path string")
     holders = spark.createDataFrame([("a", "k", "old/f"), ("a", "k", "lib/x/f"), ("b", "k", "src/x/f")], "node string, blob string, path string")
     assert [(r.found, r["at"]) for r in graph.nearest_with_blob(edges, wanted, holders).collect()] == [("a", "lib/x/f")]
+
+
+def test_streams_of_bytes_and_texts_are_cut_alike(spark):
+    from larkspur.operators import streams as S
+
+    rows = [(1, 0, "bytes", None, b"a\nb", None), (1, 1, "bytes", None, b"\xc3", None), (1, 2, "bytes", None, b"\xa9 c\n", None), (1, 3, "text", "x", None, None), (1, 4, "text", "y\nz", None, None), (1, 5, "text", None, None, "bad"), (1, 6, "text", "q", None, None)]
+    df = spark.createDataFrame(rows, S.ITEM)
+    listed = lambda d: [r.err or (r.text if r.kind == "text" else bytes(r.bytes)) for r in d.orderBy("seq").collect()]
+    assert listed(S.lines(df)) == [b"a\n", b"b\xc3\xa9 c\n", "xy\n", "z", "bad", "q"]
+    assert listed(S.words(df)) == [b"a", b"b\xc3\xa9", b"c", "xy", "z", "bad", "q"]
+    got = S.joined(spark.createDataFrame([(1, 0, "bytes", None, b"a\nb", None), (1, 1, "bytes", None, b"\nc d", None), (2, 0, "text", "u", None, None), (2, 1, "bytes", None, b"v", None), (3, 0, "text", "w", None, None)], S.ITEM), between="-").orderBy("stream_id").collect()
+    assert [(r.text, r.bytes and bytes(r.bytes)) for r in got] == [(None, b"a\nb-\nc d"), (None, b"u-v"), ("w", None)]
+
+
+def test_patterns_across_items_match_a_plain_scan(spark):
+    import random
+
+    from larkspur.operators import streams as S
+
+    rng = random.Random(4)
+    for pattern in ("ab", "aba", "aa", "é-", "abc|"):
+        rows, want = [], {}
+        for stream in range(20):
+            texts = ["".join(rng.choice(["a", "b", "é", "-", "c", "|", ""]) for _ in range(rng.randint(0, 4))) for _ in range(12)]
+            whole, out, at = "".join(texts), [], 0
+            while (hit := whole.find(pattern, at)) >= 0:
+                out.append(whole[at : hit + len(pattern)])
+                at = hit + len(pattern)
+            want[stream] = out + ([whole[at:]] if whole[at:] else [])
+            rows += [(stream, k, "text", t, None, None) for k, t in enumerate(texts)]
+            rows += [(stream + 100, k, "bytes", None, t.encode(), None) for k, t in enumerate(texts)]
+        got = {}
+        for r in S.split_after(spark.createDataFrame(rows, S.ITEM), pattern).orderBy("stream_id", "seq").collect():
+            got.setdefault(r.stream_id, []).append(r.text if r.kind == "text" else bytes(r.bytes).decode())
+        for stream, parts in want.items():
+            assert got.get(stream, []) == parts and got.get(stream + 100, []) == parts

@@ -156,3 +156,25 @@ def test_graph_origin(spark):
 
     assert got == {"cc": "aa11", "dd": hashlib.sha1(bytes.fromhex("aa11bb22")).hexdigest()[-4:]}
     assert F is not None
+
+
+def test_ordered_text_writes_each_stream_as_it_is(spark, tmp_path):
+    from larkspur.operators.streams import ITEM
+    from larkspur.sources import writers as W
+
+    rows = [(1, 1, "text", "c", None, None), (1, 0, "text", "ab", None, None), (2, 0, "bytes", None, b"\x00\xff", None), (2, 1, "text", "\u00e9\n", None, None), (3, 0, "text", "", None, None)]
+    W.ordered_text(spark.createDataFrame(rows, ITEM), f"{tmp_path}/out")
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert files == {"1": b"abc", "2": b"\x00\xff\xc3\xa9\n", "3": b""}
+
+
+def test_a_swap_cut_short_leaves_the_old_table(spark, tmp_path):
+    from larkspur.sources import writers as W
+
+    path = f"{tmp_path}/t"
+    W.json_lines(spark.range(3), path, compression="none")
+    assert W.current(spark, path) == path
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert spark.read.json(W.current(spark, path)).count() == 3
+    W.json_lines(spark.range(5), path, compression="none")
+    assert spark.read.json(W.current(spark, path)).count() == 5 and not (tmp_path / "t.old").exists()
