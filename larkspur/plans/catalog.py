@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.plans import function_queries, graph_queries, ranking_queries, stream_queries
+from larkspur.plans import function_queries, graph_queries, ingest_queries, ranking_queries, stream_queries
 
-MODULES = [ranking_queries, stream_queries, function_queries, graph_queries]
+MODULES = [ranking_queries, stream_queries, function_queries, graph_queries, ingest_queries]
 
 
 def queries() -> dict:

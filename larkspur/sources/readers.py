@@ -99,13 +99,28 @@ def records(spark: SparkSession, path: str, fields: list[str], record: str = "\x
     return rows.select(*[F.get(parts, F.lit(k)).alias(name) for k, name in enumerate(fields)])
 
 
-def trailers(commits: DataFrame, prefix: str) -> DataFrame:
-    """(depth, value): the first line with a prefix in each message, nearest commit first. commits: (depth, message)."""
+def trailers(commits: DataFrame, prefix: str, path: str | None = None) -> DataFrame:
+    """(depth, value): the first line with a prefix in each message, nearest commit first. commits: (depth, message[, paths]).
+
+    With a path, only of commits whose paths hold exactly that one.
+    """
+    if path is not None:
+        commits = commits.where(F.array_contains("paths", path))
     line = F.get(F.filter(F.split("message", "\n"), lambda x: F.startswith(x, F.lit(prefix))), F.lit(0))
     found = commits.select("depth", line.alias("line")).where("line is not null")
     return found.select("depth", F.trim(F.substring("line", len(prefix) + 1, 1 << 30)).alias("value"))
 
 
+def deleted_blobs(history: DataFrame, head: DataFrame) -> DataFrame:
+    """(blob): what a history has held and its head no longer does."""
+    return history.select("blob").distinct().join(head.select("blob"), "blob", "left_anti")
+
+
+def index_where(df: DataFrame, key, condition) -> DataFrame:
+    """(key, ids): the rows that meet a condition, by a new key; a row without the key is in no entry. df has id."""
+    return df.where(condition).where(key.isNotNull()).groupBy(key.alias("key")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(type, data) of lines `type:escaped bytes`; comments and blank lines do not count."""
     from larkspur.functions.codecs import parse_escaped
