@@ -22,7 +22,7 @@ def reachable(edges: DataFrame, starts: DataFrame, most_depth: int | None = None
         frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier.withColumn("depth", F.lit(depth))))
+        seen = seen.union(frontier.withColumn("depth", F.lit(depth)))  # written rounds stay as they are
     return seen
 
 
@@ -51,17 +51,18 @@ def generation_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round moves one edge away from the roots; a node's last round is its generation.
     """
     level = cut(nodes.select("node").join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
-    best, depth, total = level.withColumn("generation", F.lit(1).cast("long")), 1, nodes.count()
+    levels, depth, total = level.withColumn("generation", F.lit(1).cast("long")), 1, nodes.count()
     while True:
         level = cut(level.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node")).distinct())
         if level.isEmpty():
+            best = levels.groupBy("node").agg(F.max("generation").alias("generation"))  # written levels are read once
             if best.count() < total:
                 raise ValueError("the graph has a cycle")
             return best
         depth += 1
         if depth > total:
             raise ValueError("the graph has a cycle")
-        best = cut(best.unionByName(level.withColumn("generation", F.lit(depth).cast("long"))).groupBy("node").agg(F.max("generation").alias("generation")))
+        levels = levels.unionByName(level.withColumn("generation", F.lit(depth).cast("long")))
 
 
 def origin(edges: DataFrame, heads: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Columns that name a board; level_id is null for whole-game categories.
 BOARD = ["game_id", "category_id", "level_id"]
 
+#: Shares of a board that a progression is thinned in.
+SHARES = 64
+
 
 def primary_time(timing: Column, times: Column) -> Column:
     """The time by which a game ranks its runs."""
@@ -48,22 +51,25 @@ def leaderboard(runs: DataFrame, board: list[str] = BOARD, rank_obsoletes: bool
         tied = Window.partitionBy(*board, "ms")
         out = out.withColumn("tied_rank", F.rank().over(here.orderBy("ms")).cast("long"))
         return out.withColumn("is_tied", F.count(F.lit(1)).over(tied) > 1)
-    # ties beyond the limit still count: the next time decides for the last row
+    # one row more than asked for tells whether the last one is tied; all faster runs are among them
+    out = out.where(F.col("rank") <= max(limit, 0) + 1)
     out = out.withColumn("tied_rank", F.rank().over(here.orderBy("ms")).cast("long"))
     out = out.withColumn("is_tied", F.count(F.lit(1)).over(Window.partitionBy(*board, "ms")) > 1)
     return out.where(F.col("rank") <= max(limit, 0))
 
 
-def wide_leaderboard(runs: DataFrame, board: list[str] = BOARD, ranges: int = 1024) -> DataFrame:
+def wide_leaderboard(runs: DataFrame, board: list[str] = BOARD, ranges: int = 128) -> DataFrame:
     """leaderboard() for boards too large for one task.
 
-    Each board's times are cut into ranges; ranks count inside a range and start after the rows of the
-    ranges before it. Runs of one time lie in one range, so ties stay together.
+    Each board's times are cut into ranges at its own quantiles, so that a skewed board or a stray time leaves
+    none with more than its share; ranks count inside a range and start after the rows of the ranges before it.
+    Runs of one time lie in one range, so ties stay together.
     """
     kept = best_of_each(runs.where("ms is not null"), board)
-    low, high = kept.agg(F.min("ms"), F.max("ms")).first()
-    width = max(1, ((high or 0) - (low or 0)) // ranges + 1)
-    kept = kept.withColumn("__range", F.floor((F.col("ms") - F.lit(low or 0)) / width))
+    cuts = kept.groupBy(*board).agg(F.percentile_approx("ms", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("__cuts"))
+    here = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in board])
+    below = F.size(F.filter("r.__cuts", lambda c: c < F.col("l.ms")))
+    kept = kept.alias("l").join(cuts.alias("r"), here).select("l.*", below.alias("__range"))
     sizes = kept.groupBy(*board, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*board).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -81,11 +87,15 @@ def wide_leaderboard(runs: DataFrame, board: list[str] = BOARD, ranges: int = 10
 def progression(runs: DataFrame, board: list[str] = BOARD) -> DataFrame:
     """Runs that set a record when they were made, with progress_ms, what they took off the record before.
 
-    In order of date, submission and id, unknown ones first. The first run of a board has progress 0.
+    In order of date, submission and id, unknown ones first. The first run of a board has progress 0. A run that an
+    earlier one of its share of the board beats is no record of the board: each board is thinned in SHARES shares
+    first, so that only their records meet in one task.
     """
-    when = Window.partitionBy(*board).orderBy(F.asc_nulls_first("date"), F.asc_nulls_first("created"), "id")
-    best = F.min("ms").over(when.rowsBetween(Window.unboundedPreceding, -1))
-    records = runs.where("ms is not null").withColumn("__best", best).where(F.col("__best").isNull() | (F.col("ms") < F.col("__best")))
+    when = lambda *keys: Window.partitionBy(*keys).orderBy(F.asc_nulls_first("date"), F.asc_nulls_first("created"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("__best").isNull() | (F.col("ms") < F.col("__best"))
+    shares = runs.where("ms is not null").withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
+    thinned = shares.withColumn("__best", F.min("ms").over(when(*board, "__share"))).where(ahead).drop("__share", "__best")
+    records = thinned.withColumn("__best", F.min("ms").over(when(*board))).where(ahead)
     return records.withColumn("progress_ms", F.coalesce(F.col("__best") - F.col("ms"), F.lit(0))).drop("__best")
 
 

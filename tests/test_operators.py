@@ -259,3 +259,27 @@ def test_patterns_across_items_match_a_plain_scan(spark):
             got.setdefault(r.stream_id, []).append(r.text if r.kind == "text" else bytes(r.bytes).decode())
         for stream, parts in want.items():
             assert got.get(stream, []) == parts and got.get(stream + 100, []) == parts
+
+
+def test_records_and_limits_match_a_plain_walk(spark):
+    """Boards large enough for many shares and ranges, with ties at the limit and a stray time."""
+    import random
+
+    from larkspur.operators import ranking as R
+
+    rng = random.Random(6)
+    rows = [(1, b, None, i, rng.choice([10**9, rng.randint(50, 400)]) if i % 97 == 0 else rng.randint(50, 400), f"2020-01-{rng.randint(1, 28):02d}" if i % 5 else None, None, [{"user_id": i, "guest_name": None}]) for b in (1, 2) for i in range(b * 1000, b * 1000 + 600)]
+    df = spark.createDataFrame(rows, "game_id long, category_id long, level_id long, id long, ms long, date string, created timestamp, players array<struct<user_id:long,guest_name:string>>").withColumn("date", F.to_date("date"))
+    want = set()
+    for b in (1, 2):
+        best = None
+        for r in sorted((r for r in rows if r[1] == b), key=lambda r: (r[5] is not None, r[5] or "", r[3])):
+            if best is None or r[4] < best:
+                want.add((r[3], 0 if best is None else best - r[4]))
+                best = r[4]
+    assert {(r.id, r.progress_ms) for r in R.progression(df).collect()} == want
+    show = lambda d: {(r.id, r["rank"], r.tied_rank, r.is_tied) for r in d.collect()}
+    whole = show(R.leaderboard(df))
+    assert show(R.wide_leaderboard(df)) == whole
+    for limit in (-1, 0, 1, 7, 40):
+        assert show(R.leaderboard(df, limit=limit)) == {r for r in whole if r[1] <= limit}
