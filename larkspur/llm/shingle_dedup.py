@@ -4,10 +4,10 @@ A text's set is the XXH64 of every run of five words (a shorter text is one shin
 node. Candidates come from the vantage-point trees over the nodes' SimHash fingerprints first: each node's nearest ones within
 the trees' radius. Two sets at similarity 0.8 differ in some 10 of 64 bits, more than any exact search of the trees can reach, so
 what the fingerprints leave apart is proposed by MinHash: 200 values in 40 bands of five, of which two nodes at similarity 0.8
-share none with probability (1 - 0.8^5)^40 = 1.3e-7. Within a band's bucket all pairs of different groups are weighed by
-their signatures, and those that may reach the bound count as candidates; a round with only the most similar partners comes
-before the one that leaves no pair out, since pairs that are in one group already need no verification. Every candidate
-of either kind is verified by its whole sets.
+share none with probability (1 - 0.8^5)^40 = 1.3e-7. A pair belongs to the first band that it shares. Within a band's bucket the pairs
+of different groups whose signatures may reach the bound are candidates; the nodes that have one meet there again with
+their whole sets, where candidates are verified, the most alike first, and those that are one group by then are
+passed over. So what leaves a task is a spanning forest of its verified links, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 40, 5
 #: Signature values of 200 that must agree for a pair to be verified: five deviations below what 0.8 shows.
 LEAST_AGREEING = 130
-#: Nearest fingerprints of a node in a shard; then partners of a node in a bucket for each round, None is all.
-NEAREST, ROUNDS = 3, (3, None)
+#: Nearest fingerprints of a node in a shard.
+NEAREST = 3
 #: A bucket with more rows is cut into blocks.
 BUCKET_ROWS = 2048
 
@@ -71,12 +71,15 @@ def text_key() -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, node, size, fp, signature, buckets) of every row; a null text is an empty one."""
+    """(doc_id, key, node, size, fp, signature, marks, buckets) of every row; a null text is an empty one.
+
+    marks has 32 bits of each bucket, which tell the bands that two nodes share.
+    """
     import pyarrow as pa
 
     def run(batches):
         for b in slices(batches):
-            node, size, fp, signature, buckets = [], [], [], [], []
+            node, size, fp, signature, marks, buckets = [], [], [], [], [], []
             for t in byte_values(b.column(2)):
                 s = shingle_set(t or b"")
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
@@ -85,15 +88,18 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if len(s):
                     m = least_values(s)
                     signature.append((m >> np.uint64(40)).astype(np.uint8).tobytes())
-                    buckets.append((m.reshape(BANDS, BAND) * _FOLD).sum(1, dtype=np.uint64).view(np.int64))
+                    folded = (m.reshape(BANDS, BAND) * _FOLD).sum(1, dtype=np.uint64)
+                    marks.append((folded >> np.uint64(32)).astype(np.uint32).tobytes())
+                    buckets.append(folded.view(np.int64))
                 else:
                     signature.append(b"")
+                    marks.append(b"")
                     buckets.append(np.empty(0, np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "size", "fp", "signature", "buckets"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(signature, pa.binary()), pa.array(marks, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "size", "fp", "signature", "marks", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, node long, size long, fp long, signature binary, buckets array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, node long, size long, fp long, signature binary, marks binary, buckets array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -108,35 +114,84 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def candidates(tasks: DataFrame, best: int | None) -> DataFrame:
-    """(a, b) with a < b: pairs of a bucket in different groups that may reach the bound; of each node the best ones only, or all."""
+def _candidates(group):
+    """(left row, right row, agreeing values) of a task's pairs that belong to its band, tile by tile; each pair once."""
+    node, size, of, role, band = (group.column(c).to_numpy() for c in ("node", "size", "of", "role", "band"))
+    left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    if not len(left) or not len(right) or (of == of[0]).all():
+        return
+    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+    marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(len(node), -1)[:, : band[0]]
+    step = max(1, (1 << 23) // (len(right) * BANDS * BAND))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        agree = (signature[i][:, None, :] == signature[right][None, :, :]).sum(2, dtype=np.int16)
+        least, most = np.minimum(size[i][:, None], size[right]), np.maximum(size[i][:, None], size[right])
+        agree[(of[i][:, None] == of[right]) | (5 * least < 4 * most) | (node[i][:, None] >= node[right])] = 0
+        x, y = np.nonzero(agree >= LEAST_AGREEING)
+        value, x, y = agree[x, y], i[x], right[y]
+        first = np.concatenate([~(marks[x[k : k + 4096]] == marks[y[k : k + 4096]]).any(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, bool)
+        yield x[first], y[first], value[first]
+
+
+_TASK = ["cell", "a", "b"]
+
+
+def with_candidates(tasks: DataFrame) -> DataFrame:
+    """(cell, a, b, role, band, node): the rows of each task that have a candidate in it."""
     import pyarrow as pa
 
     def run(batches):
-        for group in grouped_batches(batches, ["cell", "a", "b"]):
+        for group in grouped_batches(batches, _TASK):
             if group.num_rows < 2:
                 continue
-            node, size, of, role = (group.column(c).to_numpy() for c in ("node", "size", "of", "role"))
-            left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-            if not len(left) or not len(right) or (of == of[0]).all():
+            rows = np.unique(np.concatenate([np.zeros(0, np.int64), *[part for x, y, _ in _candidates(group) for part in (x, y)]]))
+            if len(rows):
+                yield from group.select([*_TASK, "role", "band", "node"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    shards = tasks.repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return shards.mapInArrow(run, "cell long, a int, b int, role int, band int, node long")
+
+
+def task_links(tasks: DataFrame) -> DataFrame:
+    """(src, dst): a spanning forest of each task's verified links; tasks has the nodes' shingles too."""
+    import pyarrow as pa
+
+    def run(batches):
+        for group in grouped_batches(batches, _TASK):
+            found = list(_candidates(group))
+            if not found:
                 continue
-            signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-            step = max(1, (1 << 23) // (len(right) * BANDS * BAND))
-            for at in range(0, len(left), step):
-                i = left[at : at + step]
-                agree = (signature[i][:, None, :] == signature[right][None, :, :]).sum(2, dtype=np.int16)
-                least, most = np.minimum(size[i][:, None], size[right]), np.maximum(size[i][:, None], size[right])
-                agree[(of[i][:, None] == of[right]) | (5 * least < 4 * most)] = 0
-                if best and len(right) > best:
-                    bound = np.partition(agree, len(right) - best, axis=1)[:, len(right) - best]
-                    agree[agree < bound[:, None]] = 0
-                x, y = np.nonzero(agree >= LEAST_AGREEING)
-                if len(x):
-                    x, y = node[i[x]], node[right[y]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    shards = tasks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
-    return shards.mapInArrow(run, "a long, b long").distinct()
+            x, y, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+            node, shingles = group.column("node").to_numpy(), group.column("shingles").combine_chunks()
+            flat, at = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shingles.offsets.to_numpy()
+            at = at - at[0]
+            # rows of one group, and the two rows that a node may have here, are together from the start
+            label = np.unique(group.column("of").to_numpy(), return_inverse=True)[1].tolist()
+            up = list(range(max(label) + 1))
+
+            def root(k, up=up):
+                while up[k] != k:
+                    up[k] = k = up[up[k]]
+                return k
+
+            src, dst = [], []
+            for k in np.argsort(-value, kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                p, q = root(label[i]), root(label[j])
+                if p == q:
+                    continue
+                one, two = flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]]
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if 5 * common >= 4 * (len(one) + len(two) - common):
+                    up[max(p, q)] = min(p, q)
+                    src.append(node[i])
+                    dst.append(node[j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    shards = tasks.repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return shards.mapInArrow(run, "src long, dst long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,8 +208,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key is text_key() of the row; rows without a doc_id are rows like any other. Texts without a word are one group.
     """
     rows = checkpointed(signatures(docs))
-    nodes = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"), F.min("key").alias("key"))
-    dealt = nodes.select("node", F.explode("buckets").alias("cell"))
+    held = ("size", "fp", "signature", "marks", "buckets")
+    nodes = rows.where("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in held], F.min("key").alias("key"))
+    dealt = nodes.select("node", F.posexplode("buckets").alias("band", "cell"))
     shared = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     met = checkpointed(dealt.join(shared, "cell"))
     known = checkpointed(nodes.drop("buckets").join(met.select("node").distinct(), "node", "left_semi"))
@@ -163,14 +219,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = nearest_pairs(search_tasks(known.select("fp", "node")), RADIUS, NEAREST)
     links = checkpointed(verified(near.toDF("a", "b"), sets))
     roots = checkpointed(components(links))
-    for best in ROUNDS:
-        labelled = known.join(roots, "node", "left").select("node", "size", "signature", F.coalesce("root", "node").alias("of"))
-        rows_of = met.join(labelled, "node")
-        apart = rows_of.groupBy("cell").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("cell")
-        here = rows_of.join(apart, "cell").withColumns({"home": F.lit(True), "salt": F.xxhash64("node")})
-        found = checkpointed(verified(candidates(split_hot_cells(here, BUCKET_ROWS), best), sets))
-        if found.isEmpty():
-            continue
-        links = links.union(found)
-        roots = checkpointed(components(links))
+    labelled = checkpointed(known.join(roots, "node", "left").select("node", "size", "signature", "marks", F.coalesce("root", "node").alias("of")))
+    groups = met.join(labelled.select("node", "of"), "node")
+    apart = groups.groupBy("cell").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("cell")
+    here = met.join(apart, "cell").join(labelled, "node").withColumns({"home": F.lit(True), "salt": F.xxhash64("node")})
+    open_ = checkpointed(with_candidates(split_hot_cells(here, BUCKET_ROWS)))
+    more = checkpointed(task_links(open_.join(labelled, "node").join(sets, "node")))
+    roots = components(links.union(more))
     return rows.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("group"))
