@@ -43,6 +43,12 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def row_mark(rows: DataFrame) -> Column:
+    """A hash of all columns of a row, whatever their order and types."""
+    plain = lambda c, t: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c, t) for c, t in sorted(rows.dtypes)])
+
+
 def numbered_copies(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """rows with a column `name`: 0, 1, ... for the rows equal in keys (nulls are values).
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, numbered_copies, table
+from larkspur.llm.common import broadcast_if_small, bucket_count, checkpointed, numbered_copies, row_mark, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -105,9 +105,8 @@ def positions(docs: DataFrame) -> DataFrame:
 
     mark is a hash of the whole row; rows equal in all columns are numbered, so that their copies are spread.
     """
-    everything = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
     rows = docs.select(
-        "doc_id", "source", source_key(F.col("source")).alias("skey"), everything.alias("mark"),
+        "doc_id", "source", source_key(F.col("source")).alias("skey"), row_mark(docs).alias("mark"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = checkpointed(numbered_copies(rows, ["skey", "mark"], "copy"))
@@ -201,8 +200,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     part = F.struct("from", "words")
     taken = mixed.groupBy("skey", "mark", "size", "first", "pass").agg(F.sum("words").alias("got"), F.sort_array(F.collect_list(part)).alias("parts"))
     # the document travels as one struct, so that its columns' names cannot clash; rows with one mark are equal
-    everything = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)])
-    whole = docs.select(source_key(F.col("source")).alias("__skey"), everything.alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
+    whole = docs.select(source_key(F.col("source")).alias("__skey"), row_mark(docs).alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"))
     whole = whole.dropDuplicates(["__skey", "__mark"])
     taken = taken.select(F.col("skey").alias("__skey"), F.col("mark").alias("__mark"), F.col("size").alias("__size"), F.col("got").alias("__got"), F.col("parts").alias("__parts"))
     words = F.regexp_extract_all("__doc.text", F.lit(WORD), F.lit(0))

@@ -147,6 +147,12 @@ def test_mixed_documents_hold_the_words_taken(spark, docs):
     assert got == taken
 
 
+def test_mix_takes_columns_of_any_type(spark, docs):
+    df = docs([(i, f"some words {i} " * 30, "en", "ab"[i % 2]) for i in range(20)]).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("mark", F.lit(1)).withColumn("size", F.lit("x"))
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns and out.count() > 0
+
+
 def test_mix_of_odd_rows(spark, odd, empty, table_dir):
     out = M.op9_mixing(spark, table_dir(documents=odd)).collect()
     assert len(out) == 12 and all(r.taken <= 2 * r.size for r in out) and {r.doc_id: r.taken for r in out}[2] == 0
