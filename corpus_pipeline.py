@@ -44,7 +44,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     least = groups.groupBy("group").agg(first).select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__key")).distinct()
     rows = docs.select(shingle_dedup.text_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(least, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")))
-    return kept.groupBy("key", "id").agg(F.min("row").alias("row")).select("row.*")
+    return kept.groupBy("key", "id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
