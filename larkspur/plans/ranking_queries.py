@@ -242,15 +242,47 @@ def duplicate_slug_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query(f', {_KEYS}, {_ERRORS} SELECT "table", count(DISTINCT row_id) AS invalid FROM found GROUP BY 1')
-def invalid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = integrity.errors(tables(spark, sf_dir))
-    return found.select("table", "row_id").distinct().groupBy("table").agg(F.count(F.lit(1)).alias("invalid"))
+_TABLES = ("users", "games", "categories", "levels", "runs")
+_SIZES = "sizes AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in _TABLES) + ")"
 
 
-@query()
+@query(f', {_KEYS}, {_ERRORS}, {_SIZES}, bad AS (SELECT "table", count(DISTINCT row_id) AS invalid FROM found GROUP BY 1) SELECT "table", invalid, CAST(invalid * 100 // greatest(n, 1) AS BIGINT) AS percent FROM bad JOIN sizes ON tbl = "table"')
+def invalid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid rows of each table, and how many in a hundred they are."""
+    t = tables(spark, sf_dir)
+    bad = integrity.errors(t).select("table", "row_id").distinct().groupBy("table").agg(F.count(F.lit(1)).alias("invalid"))
+    sizes = None
+    for name in _TABLES:
+        one = t[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
+        sizes = one if sizes is None else sizes.union(one)
+    return bad.join(sizes, "table").select("table", "invalid", F.floor(F.col("invalid") * 100 / F.greatest("n", F.lit(1))).cast("long").alias("percent"))
+
+
+def _cleaning_round(k: int) -> str:
+    """The five tables after round k of cleaning, from those after the round before."""
+    keys, old = _KEYS, k - 1
+    for t in ("users", "games", "categories", "levels"):
+        keys = keys.replace(f"FROM {t} ", f"FROM {t}{old} ").replace(f"FROM {t}\n", f"FROM {t}{old}\n").replace(f"JOIN {t} ", f"JOIN {t}{old} ")
+    keys = keys.replace("keyed", f"keyed{k}").replace("dup AS", f"dup{k} AS").replace("AS (", "AS MATERIALIZED (")
+    stays = lambda t: f"id NOT IN (SELECT id FROM dup{k} WHERE tbl = '{t}' AND nth > 1)"
+    of = lambda t: f"{t}{k} AS MATERIALIZED (SELECT * FROM {t}{old} WHERE {stays(t)}"
+    time = "CASE g.primary_timing WHEN 'IGT' THEN igt WHEN 'RTA' THEN rta ELSE rta_nl END IS NOT NULL"
+    return (
+        f"{keys}, {of('users')} AND name <> '' AND slug <> ''), {of('games')}), {of('categories')} AND game_id IN (SELECT id FROM games{old})), {of('levels')} AND game_id IN (SELECT id FROM games{old})), "
+        f"runs{k} AS MATERIALIZED (SELECT r.* FROM runs{old} r JOIN games{old} g ON r.game_id = g.id WHERE category_id IN (SELECT id FROM categories{old}) AND (level_id IS NULL OR level_id IN (SELECT id FROM levels{old})) "
+        f"AND (user_id IS NULL OR user_id IN (SELECT id FROM users{old})) AND {time})"
+    )
+
+
+#: Rounds that the SQL unrolls; the tables are clean before, and further rounds change nothing.
+_ROUNDS = 6
+_START = ", ".join(f"{t}0 AS MATERIALIZED (SELECT * FROM {t})" for t in _TABLES)
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{what}' AS state, count(*) AS n FROM {t}{k}" for t in _TABLES for what, k in (("raw", 0), ("clean", _ROUNDS)))
+
+
+@query(f", {_START}, {', '.join(map(_cleaning_round, range(1, _ROUNDS + 1)))} {_COUNTS}")
 def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the five tables before and after cleaning to a fixpoint (iterative: no SQL)."""
+    """Row counts of the five tables before and after cleaning to a fixpoint."""
     t = tables(spark, sf_dir)
     done, _ = integrity.clean(t)
     count = lambda df, name, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), F.lit(what).alias("state"), "n")
@@ -282,16 +314,20 @@ def run_by_source_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir)["runs"].join(F.broadcast(ids), "id").select("id", "game_id")
 
 
-@query("SELECT 'game' AS kind, id, name FROM games WHERE id = 3 UNION ALL SELECT 'user', id, name FROM users WHERE id = 7 UNION ALL SELECT 'level', id, name FROM levels WHERE id = 32")
+@query(
+    "SELECT 'game' AS kind, id, name FROM games WHERE id = 3 UNION ALL SELECT 'user', id, name FROM users WHERE id = 7 UNION ALL SELECT 'level', id, name FROM levels WHERE id = 32 "
+    "UNION ALL SELECT 'category', id, name FROM categories WHERE id = 31 UNION ALL SELECT 'run', id, NULL FROM runs WHERE id = 45"
+)
 def node_by_global_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of any kind by their tagged global ids."""
     t = tables(spark, sf_dir)
-    wanted = spark.range(1).select(F.explode(F.array(*[codecs.global_id(k, F.lit(n)) for k, n in (("game", 3), ("user", 7), ("level", 32))])).alias("node"))
+    wanted = spark.range(1).select(F.explode(F.array(*[codecs.global_id(k, F.lit(n)) for k, n in (("game", 3), ("user", 7), ("level", 32), ("category", 31), ("run", 45))])).alias("node"))
     keys = wanted.select(codecs.parse_global_id(F.col("node")).alias("n")).select("n.*")
-    kinds = {"game": "games", "user": "users", "level": "levels"}
+    kinds = {"game": "games", "user": "users", "level": "levels", "category": "categories", "run": "runs"}
     every = None
     for kind, name in kinds.items():
-        part = t[name].select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
+        shown = F.lit(None).cast("string").alias("name") if kind == "run" else F.col("name")
+        part = t[name].select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), shown)
         every = part if every is None else every.unionByName(part)
     return every.join(F.broadcast(keys), ["kind", "id"])
 
@@ -322,12 +358,18 @@ def game_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(low != "nation_1", ~low.startswith("nation_1"), F.length("slug"), F.length("name"), "slug").select("slug", "name").limit(16)
 
 
-@query("SELECT id FROM runs WHERE game_id IN (SELECT id FROM games WHERE slug IN ('NATION_1', 'NATION_2'))")
+_NAMED = "SELECT id FROM games WHERE slug IN ('NATION_1', 'NATION_2')"
+
+
+@query(f"SELECT 'run' AS kind, id FROM runs WHERE game_id IN ({_NAMED}) UNION ALL SELECT DISTINCT 'user', u.id FROM users u JOIN runs r ON r.user_id = u.id WHERE r.game_id IN ({_NAMED})")
 def fixture_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a few named games."""
+    """Runs of a few named games, and the users that they name."""
     t = tables(spark, sf_dir)
     games = t["games"].where(F.col("slug").isin("NATION_1", "NATION_2")).select(F.col("id").alias("game_id"))
-    return t["runs"].join(games, "game_id", "left_semi").select("id")
+    runs = t["runs"].join(games, "game_id", "left_semi")
+    named = runs.select(F.explode("players").alias("p")).select(F.col("p.user_id").alias("id"))
+    users = t["users"].join(named, "id", "left_semi")
+    return runs.select(F.lit("run").alias("kind"), "id").unionByName(users.select(F.lit("user").alias("kind"), "id"))
 
 
 @query("SELECT id, CASE WHEN id % 10 = 0 THEN 'supplemental' ELSE 'main' END AS origin FROM runs WHERE id % 2 = 0")
