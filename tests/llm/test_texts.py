@@ -358,7 +358,7 @@ def test_short_insults_phrases_and_long_texts_count(spark, docs):
     rng = random.Random(21)
     rows, marks = [], []
     for i in range(500):
-        words, bad = noise(rng, rng.choice([40, 50, 60, 60, 60, 3000])).split(), i % 3 == 0
+        words, bad = noise(rng, rng.choice([40, 50, 60, 60, 40, 50, 60, 60, 40, 50, 60, 3000])).split(), i % 3 == 0
         both = ["zig", "vup"]
         at = rng.randrange(len(words) - 1)
         words[at + 1 : at + 1] = (["kyz"] if i % 2 else both) if bad else [both[i % 2]]
