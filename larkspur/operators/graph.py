@@ -151,7 +151,18 @@ def dependency_closure(packages: DataFrame) -> DataFrame:
 
 def prefix_length(ids: DataFrame) -> int:
     """Hex digits that tell ids apart: the least even number from 4 on, and 2 more, 40 at most; 4 for one id."""
-    counts = ids.select(F.count(F.lit(1)), *[F.count_distinct(F.left("id", F.lit(n))) for n in range(4, 41, 2)]).first()
-    if counts[0] <= 1:
+    total, known = ids.select(F.count(F.lit(1)), F.count("id")).first()
+    if total <= 1:
         return 4
-    return min(40, next((n + 2 for n, c in zip(range(4, 41, 2), counts[1:], strict=True) if c == counts[0]), 40))
+    if known < total:
+        return 40
+    low, high = 4, 42  # apart at high, not below low; 42 stands for never
+    while low < high:
+        n = (low + high) // 4 * 2
+        # dealt by prefix before they are counted, so that a task holds its share of the prefixes only
+        prefixes = ids.select(F.left("id", F.lit(n)).alias("p")).repartition("p")
+        if prefixes.groupBy("p").count().where("count > 1").isEmpty():
+            high = n
+        else:
+            low = n + 2
+    return min(40, high + 2)
