@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,19 +31,18 @@ def parse_hex(text: Column) -> Column:
 
 def to_binary_digits(data: Column) -> Column:
     """Eight binary digits for each byte, the high bit first."""
-    out = F.translate(F.hex(data), "0123456789ABCDEF", "ghijklmnopqrstuv")
-    for k, letter in enumerate("ghijklmnopqrstuv"):
-        out = F.replace(out, F.lit(letter), F.lit(f"{k:04b}"))
-    return out
+    # fifteen hex digits at a time: what a LONG holds
+    digits = F.regexp_extract_all(F.hex(data), F.lit(".{1,15}"), F.lit(0))
+    return F.array_join(F.transform(digits, lambda o: F.lpad(F.bin(F.conv(o, 16, 10).cast("long")), F.length(o) * 4, "0")), "")
 
 
 def parse_binary_digits(text: Column) -> Column:
     """Bytes of binary digits, eight each; ASCII white space does not count."""
     digits = F.regexp_replace(text, r"[ \t\n\f\r]", "")
     error = F.when(~digits.rlike("^[01]*$"), "invalid binary digit").when(F.length(digits) % 8 != 0, "number of bits is not a multiple of 8")
-    # cut in one pass; substring() would walk from the start for each octet
-    octets = F.transform(F.regexp_extract_all(digits, F.lit("[01]{8}"), F.lit(0)), lambda o: F.lpad(F.conv(o, 2, 16), 2, "0"))
-    value = F.when(F.length(digits) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(octets, "")))
+    # cut in one pass, 64 digits at a time; substring() would walk from the start for each piece
+    words = F.transform(F.regexp_extract_all(digits, F.lit("[01]{1,64}"), F.lit(0)), lambda o: F.lpad(F.conv(o, 2, 16), F.shiftright(F.length(o), 2), "0"))
+    value = F.when(F.length(digits) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(words, "")))
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
@@ -108,11 +108,21 @@ _DIGITS = np.frombuffer(Z85.encode(), np.uint8)
 _POWERS = np.array([85**4, 85**3, 85**2, 85, 1], np.int64)
 _VALUES = np.full(256, -1, np.int64)
 _VALUES[_DIGITS] = np.arange(85)
+_PAIRS = [a + b for a in Z85 for b in Z85]
+_VALUE = {d: k for k, d in enumerate(Z85)}
+
+
+def _five(word: int) -> str:
+    return Z85[word // 52200625] + _PAIRS[word // 7225 % 7225] + _PAIRS[word % 7225]
 
 
 def z85_encode(data: bytes) -> str:
     """Z85 with a short last block: n bytes give n + 1 digits."""
     spare = -len(data) % 4
+    if len(data) <= 64:  # arrays do not pay
+        padded = bytes(data) + b"\0" * spare
+        digits = "".join([_five(int.from_bytes(padded[i : i + 4], "big")) for i in range(0, len(padded), 4)])
+        return digits[: len(digits) - spare]
     words = np.frombuffer(data + b"\0" * spare, ">u4").astype(np.int64)
     digits = _DIGITS[words[:, None] // _POWERS % 85].tobytes()
     return digits[: len(digits) - spare].decode()
@@ -233,18 +243,22 @@ def b1032_decode(token: str, low: int = -(2**63), high: int = 2**63 - 1) -> int:
 _ESCAPES = {"\\n": 10, "\\t": 9, "\\r": 13, "\\\\": 92}
 
 
+_SHOWN = [{v: k for k, v in _ESCAPES.items()}.get(b) or (chr(b) if 32 <= b < 127 else f"\\x{b:02X}") for b in range(256)]
+_HIDDEN = re.compile(r"[^ -\[\]-~]+")
+_ESCAPED = re.compile(r"(?:[\x00-\x5b\x5d-\x7f]++|\\x[0-9A-Fa-f]{2}|\\[ntr\\])*+")
+_ESCAPE_RUNS = re.compile(rb"(?:\\x..)+|\\.")
+
+
 def bytes_to_text(data: bytes) -> str:
     """Printable ASCII as it is; line break, tab, return and backslash escaped; other bytes as \\xHH."""
-    short = {v: k for k, v in _ESCAPES.items()}
-    return "".join(short.get(b) or (chr(b) if 32 <= b < 127 else f"\\x{b:02X}") for b in data)
+    return _HIDDEN.sub(lambda m: "".join([_SHOWN[ord(c)] for c in m[0]]), data.decode("latin-1"))
 
 
 def text_to_bytes(text: str) -> bytes | None:
     """Inverse of bytes_to_text; None for a malformed text."""
-    parts = re.findall(r"\\x[0-9A-Fa-f]{2}|\\[ntr\\]|[\x00-\x5b\x5d-\x7f]", text)
-    if sum(map(len, parts)) != len(text):
+    if not _ESCAPED.fullmatch(text):
         return None
-    return bytes(_ESCAPES[p] if p in _ESCAPES else int(p[2:], 16) if len(p) == 4 else ord(p) for p in parts)
+    return _ESCAPE_RUNS.sub(lambda m: bytes.fromhex(m[0].replace(b"\\x", b"").decode()) if m[0][1:2] == b"x" else bytes([_ESCAPES[m[0].decode()]]), text.encode())
 
 
 def masked_hex(text: str) -> tuple[bytes, bytes]:
@@ -307,54 +321,77 @@ def _plain_bytes(base: str, text: str) -> bytes:
     return z85_decode(text)
 
 
+@cache
+def _safe_runs(base: str, extra_safe: str) -> re.Pattern:
+    """Runs of whole safe blocks, the first group, or of others; every match begins at a block."""
+    size, _, _, most, safe = READABLE[base]
+    block = b"[" + re.escape((safe + extra_safe).encode()) + b"]{%d}" % size
+    return re.compile(b"((?:%s){1,%d})|(?:(?!%s).{1,%d})+" % (block, most, block, size), re.DOTALL)
+
+
 def readable_encode(data: bytes, base: str, extra_safe: str = "") -> str:
     """base64url (66) or Z85 (92), but whole blocks of safe characters stay as they are, in marked runs.
 
     A run of one block is `~` and its bytes; of two, the mark twice and the bytes; of n, mark n mark, the bytes,
     and a fill up to the length of n blocks. A run longer than its base allows is cut into several.
     """
-    size, width, mark, most, safe = READABLE[base]
-    good = set((safe + extra_safe).encode())
-    out, at = [], 0
-    while at < len(data):
-        end = at
-        while end + size <= len(data) and end - at < most * size and good.issuperset(data[end : end + size]):
-            end += size
-        n, raw = (end - at) // size, data[at:end].decode()
-        if not n:
-            out.append(_plain_digits(base, data[at : at + size]))
-            at += size
+    size, width, mark, _, _ = READABLE[base]
+    out = []
+    for found in _safe_runs(base, extra_safe).finditer(data):
+        if found[1] is None:
+            out.append(_plain_digits(base, found[0]))
             continue
+        raw = found[1].decode()
+        n = len(found[1]) // size
         text = "~" + raw if n == 1 else mark * 2 + raw if n == 2 else f"{mark}{n}{mark}{raw}"
         if len(text) < n * width and (n == 4 or base == "66"):
             text += mark
         out.append(text.ljust(n * width, "."))
-        at = end
     return "".join(out)
 
 
+#: Whole blocks without a mark in front, and the length of a run, of each base.
+_PLAIN_RUN = {b: re.compile(rf"(?:(?![~{re.escape(mark)}]).{{{width}}})+", re.DOTALL) for b, (_, width, mark, _, _) in READABLE.items()}
+_RUN_LENGTH = {b: re.compile(rf"{re.escape(mark)}([1-9][0-9]*){re.escape(mark)}") for b, (_, _, mark, _, _) in READABLE.items()}
+
+
+def _plain_run(base: str, text: str) -> bytes:
+    """Bytes of whole blocks, together where each is only digits, else block by block."""
+    width = READABLE[base][1]
+    try:
+        if not re.search(r"\s", text):
+            return _plain_bytes(base, text)
+    except ValueError:
+        pass
+    return b"".join([_plain_bytes(base, text[i : i + width]) for i in range(0, len(text), width)])
+
+
 def readable_decode(text: str, base: str, strict: bool = False) -> bytes:
     """Inverse of readable_encode; strict rejects what the encoder would write in another way."""
     size, width, mark, _, _ = READABLE[base]
     out, at = [], 0
     while at < len(text):
-        block, n, skip = text[at : at + width], 1, 0
-        if len(block) == width and block[0] in ("~", mark):
-            number = re.match(rf"{re.escape(mark)}([1-9][0-9]*){re.escape(mark)}", text[at:])
-            if block[0] == "~":
-                skip = 1
-            elif block[1] == mark:
+        plain = _PLAIN_RUN[base].match(text, at)
+        if plain:
+            out.append(_plain_run(base, plain[0]))
+            at = plain.end()
+            continue
+        if len(text) - at < width:
+            out.append(_plain_bytes(base, text[at:]))
+            break
+        n, skip = 1, 1
+        if text[at] != "~":
+            number = _RUN_LENGTH[base].match(text, at)
+            if text[at + 1] == mark:
                 n, skip = 2, 2
             elif number:
-                n, skip = int(number[1]), number.end()
+                n, skip = int(number[1]), number.end() - at
             else:
                 raise ValueError("a run without a length")
-            raw = text[at + skip : at + skip + n * size].encode()
-            if len(raw) != n * size or at + n * width > len(text):
-                raise ValueError("a run is cut short")
-            out.append(raw)
-        else:
-            out.append(_plain_bytes(base, block))
+        raw = text[at + skip : at + skip + n * size].encode()
+        if len(raw) != n * size or at + n * width > len(text):
+            raise ValueError("a run is cut short")
+        out.append(raw)
         at += n * width
     data = b"".join(out)
     if strict and readable_encode(data, base) != text:
@@ -368,10 +405,17 @@ def readable_decode(text: str, base: str, strict: bool = False) -> bytes:
 #: bytes and whether the prefix is little-endian.
 ESCAPE_FIRST = {"_": 7, ";": 6, "~": 5, ",": 4, "`": 3}
 ESCAPE_LATER = {"_": (7, True), ";": (6, True), "~": (6, False), ",": (4, True), "`": (4, False)}
-_ESCAPED_SAFE = re.compile(("[" + re.escape(Z85 + ",`;~_|") + "]*").encode())
+_ESCAPED_SAFE = (Z85 + ",`;~_|").encode()
+_UNSAFE = bytes(b not in _ESCAPED_SAFE for b in range(256))
+#: The escape of a run of so many bytes, up to the longest that counts.
+_FIRST = [next(((e, c) for e, c in ESCAPE_FIRST.items() if run >= c), None) for run in range(11)]
+_LATER = [[(e, c, le) for e, (c, le) in ESCAPE_LATER.items() if run >= c] for run in range(8)]
+_SPOT = re.compile("[,`;~_|]")
 
 
 def _number_digits(value: int, width: int) -> str:
+    if width == 5 and value < 85**5:
+        return _five(value)
     out = ""
     for _ in range(width):
         value, digit = divmod(value, 85)
@@ -382,9 +426,9 @@ def _number_digits(value: int, width: int) -> str:
 def _digits_number(digits: str) -> int:
     value = 0
     for d in digits:
-        if d not in Z85:
+        if d not in _VALUE:
             raise ValueError(f"invalid digit {d!r}")
-        value = value * 85 + Z85.index(d)
+        value = value * 85 + _VALUE[d]
     return value
 
 
@@ -396,16 +440,23 @@ def escaped85_encode(data: bytes) -> str:
     right-aligned: n bytes are the last n + 1 digits of their number.
     """
     out, at = [], 0
+    unsafe = data.translate(_UNSAFE) + b"\1"
     while at < len(data):
-        run = _ESCAPED_SAFE.match(data, at, at + 10).end() - at
-        escape, prefix, count = next(((e, "", c) for e, c in ESCAPE_FIRST.items() if run >= c), (None, "", 0))
-        size = 0
+        bad = unsafe.find(1, at)
+        escape, prefix, count = None, "", 0
+        if found := _FIRST[min(bad - at, 10)]:
+            escape, count = found
         for size in range(1, 4) if not escape else ():
-            run = _ESCAPED_SAFE.match(data, at + size, at + size + 7).end() - at - size if at + size < len(data) else 0
-            values = {little: int.from_bytes(data[at : at + size], "little" if little else "big") for little in (True, False)}
-            escape, count, value = next(((e, c, values[le]) for e, (c, le) in ESCAPE_LATER.items() if run >= c and values[le] < 85**size), (None, 0, 0))
+            if at + size >= len(data):
+                break
+            if bad < at + size:
+                bad = unsafe.find(1, at + size)
+            for e, c, le in _LATER[min(bad - at - size, 7)]:
+                value = int.from_bytes(data[at : at + size], "little" if le else "big")
+                if value < 85**size:
+                    escape, count, prefix = e, c, _number_digits(value, size)
+                    break
             if escape:
-                prefix = _number_digits(value, size)
                 break
         if escape:
             start = at + len(prefix)
@@ -424,7 +475,7 @@ def escaped85_decode(text: str) -> bytes:
     out, at = [], 0
     while at < len(text):
         block = text[at : at + 5]
-        spot = next((k for k, c in enumerate(block) if c in ",`;~_|"), None)
+        spot = found.start() - at if (found := _SPOT.search(text, at, at + 5)) else None
         if spot is None:
             value, size = _digits_number(block), len(block) * 4 // 5
             if len(block) == 5 and value >= 1 << 32:
@@ -491,12 +542,22 @@ def base42_length(digits: str, aligned: bool) -> tuple[int, bool]:
 # --- as column functions -------------------------------------------------------------------------------
 
 
+#: Arrow types of kinds, and values that are Python objects at one time.
+_ARROW, _AT_ONCE = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}, 64
+
+
+def _slices(values: pa.Array, function, kind: pa.DataType) -> pa.Array:
+    """function(values) of slices, each an Arrow array before the next is made."""
+    parts = [pa.array([function(v) for v in values.slice(i, _AT_ONCE).to_pylist()], kind) for i in range(0, len(values), _AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _each(function, kind: str):
     """An Arrow UDF that applies a function to every value; null stays null."""
 
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v is pd.NA or v != v else function(v)).astype(object)
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return _slices(values, lambda v: None if v is None else function(v), _ARROW[kind])
 
     return run
 
@@ -504,15 +565,15 @@ def _each(function, kind: str):
 def _checked(function, kind: str):
     """The same with struct(value, error) from ValueError."""
 
-    @F.pandas_udf(f"value {kind}, error string")
-    def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            try:
-                rows.append((None if v is None else function(v), None))
-            except ValueError as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["value", "error"]).astype(object)
+    def checked(v):
+        try:
+            return {"value": None if v is None else function(v), "error": None}
+        except ValueError as e:
+            return {"value": None, "error": str(e)}
+
+    @F.arrow_udf(f"value {kind}, error string")
+    def run(values: pa.Array) -> pa.Array:
+        return _slices(values, checked, pa.struct([("value", _ARROW[kind]), ("error", pa.string())]))
 
     return run
 
@@ -563,6 +624,9 @@ def encode_blocks(data: Column, alphabet: str) -> Column:
     digits, size = ALPHABETS[alphabet]
     if alphabet.startswith("hex"):
         return F.hex(data) if alphabet == "hex" else to_hex(data)
+    if alphabet.startswith("base64"):
+        out = F.rtrim(F.replace(F.base64(data.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit("="))  # no lines
+        return out if alphabet == "base64" else F.translate(out, "+/", "-_")
     return _each(lambda b: block_encode(bytes(b), digits, size), "string")(data.cast("binary"))
 
 
